@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lines, media, preference, urls
+from . import bpe, kneser, langid, licenses, lines, media, preference, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_bpe() -> str:
+    """The path of the public tokenizer file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = kneser.trusted_ids(_table(spark, sf_dir, "labels"))
+    return kneser.judge(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op3_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = media.store(_table(spark, sf_dir, "documents"))
     return media.read(files, keep_pcm=False).drop("pcm").withColumnRenamed("id", "doc_id")
@@ -47,8 +59,17 @@ def op8_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(preference.reply_pairs(_table(spark, sf_dir, "conversations")))
 
 
+def op9_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), word_bpe()), word_bpe()).withColumnRenamed("id", "doc_id")
+
+
+def op10_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    return langid.predict(documents, langid.fit(documents.filter("not held_out")), keep=["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_telephony_audio, op5_license_rules, op6_line_frequency, op7_url_digests, op8_preference_pairs)}
+    return {f.__name__: f for f in (op1_kneser_ney, op3_telephony_audio, op5_license_rules, op6_line_frequency, op7_url_digests, op8_preference_pairs, op9_prefix_bpe, op10_bitmask_langid)}
 
 
 SPACE = "[\\x20\\x09-\\x0D]"
