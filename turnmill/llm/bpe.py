@@ -247,6 +247,10 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, and the rows' offsets in them."""
+        return self.encode_terms(data, offsets)[:2]
+
+    def encode_terms(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All rows' ids and the rows' offsets in them; each chunk's number among the distinct ones, and the rows' offsets in those."""
         starts, ends, bounds = blocks.words(data, offsets)
         wanted, where, back = np.unique(blocks.hashes(data, starts, ends), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, wanted)
@@ -267,7 +271,7 @@ class Encoder:
         place = self.places[np.searchsorted(self.keys, wanted)][back] if len(wanted) else np.zeros(0, np.int64)
         lengths = self.bounds[place + 1] - self.bounds[place]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[blocks.spread(self.bounds[place], lengths)], total[bounds]
+        return self.flat[blocks.spread(self.bounds[place], lengths)], total[bounds], back, bounds
 
 
 _encoders: dict[str, Encoder] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kneser, langid, licenses, lines, media, preference, urls
+from . import bpe, kneser, langid, licenses, lines, media, packing, preference, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read(files, keep_pcm=False).drop("pcm").withColumnRenamed("id", "doc_id")
 
 
+def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), word_bpe(), with_ids=False).drop("ids")
+
+
 def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
@@ -69,7 +73,7 @@ def op10_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op3_telephony_audio, op5_license_rules, op6_line_frequency, op7_url_digests, op8_preference_pairs, op9_prefix_bpe, op10_bitmask_langid)}
+    return {f.__name__: f for f in (op1_kneser_ney, op3_telephony_audio, op4_bm25_packing, op5_license_rules, op6_line_frequency, op7_url_digests, op8_preference_pairs, op9_prefix_bpe, op10_bitmask_langid)}
 
 
 SPACE = "[\\x20\\x09-\\x0D]"
