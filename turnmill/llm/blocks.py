@@ -7,7 +7,7 @@ the longest single row.
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,14 +49,18 @@ def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> I
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of non-separators within each row, and each row's bounds in that list."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of non-separators within each row, and each row's bounds in that list. With kinds, a run is
+    also cut between bytes of kinds 1 and 2."""
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
     inside = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
+    if kinds is not None:
+        kind = kinds[data]
+        edge[1:-1] |= (kind[1:] | kind[:-1]) == 3
     before = edge[:-1].copy()
     before[1:] |= ~inside[:-1]
     after = edge[1:].copy()
@@ -108,18 +112,15 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - first, lengths)
 
 
-def cut(spark, frame, name: str):
-    """The frame written to the shared checkpoint folder and read again, without its lineage."""
-    context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(os.path.join("/tmp", "checkpoints"))
-    return frame.checkpoint(eager=True)
+def unused(columns: list[str], name: str) -> str:
+    """The name, or one like it that no column has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def shared(spark) -> str:
     """A new folder below the shared checkpoint folder."""
-    import uuid
-
     root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
     return f"{root.rstrip('/')}/turnmill-{uuid.uuid4().hex}"
 

@@ -34,8 +34,13 @@ from pyspark.sql import functions as F
 
 from . import blocks
 
-TABLE_CHUNKS = 1_000_000
-SLICE = 4 << 20
+TABLE_CHUNKS = 500_000
+TABLE_WORDS = 100_000
+SLICE = 1 << 20
+#: Chunks are also cut between ASCII letters and these marks, where the file's pattern always splits; bytes are lower-cased first.
+KINDS = np.zeros(256, np.uint8)
+KINDS[97:123] = 1
+KINDS[[33, 44, 46, 58, 59, 63]] = 2
 NEVER = np.int32(2**31 - 1)
 
 
@@ -107,8 +112,8 @@ class Merges:
 
 
 class Automaton:
-    """A trie of tokens over symbols with suffix links, as a full transition table; `token` is the longest token that ends in a state,
-    `shorter` the next shorter token that ends where a token does."""
+    """A trie of tokens over symbols with suffix links. `token` is the longest token that ends in a state, `shorter` the next shorter
+    token that ends where a token does. Transitions are a sorted array of (state, symbol); the root has one for every symbol."""
 
     def __init__(self, spelled: dict[int, list[int]], n_symbols: int, n_tokens: int):
         children: list[dict[int, int]] = [{}]
@@ -123,41 +128,61 @@ class Automaton:
                 state = nxt
             final[state] = token
         n = len(children)
-        self.step = np.zeros((n, n_symbols), np.int32)
+        self.width = n_symbols
         self.token = np.full(n, -1, np.int32)
+        self.suffix = np.zeros(n, np.int32)
         self.shorter = np.full(n_tokens, -1, np.int32)
-        suffix, queue = [0] * n, [0]
+        edges: list[tuple[int, int]] = []
+        queue = [0]
         for state in queue:
-            link = suffix[state]
             if state:
-                self.step[state] = self.step[link]
-                self.token[state] = self.token[link]
+                self.token[state] = self.token[self.suffix[state]]
                 if state in final:
-                    self.shorter[final[state]] = self.token[link]
+                    self.shorter[final[state]] = self.token[state]
                     self.token[state] = final[state]
             for s, child in children[state].items():
-                suffix[child] = int(self.step[link, s]) if state else 0
+                edges.append((state * n_symbols + s, child))
+                link = int(self.suffix[state])
+                while state and link and s not in children[link]:
+                    link = int(self.suffix[link])
+                self.suffix[child] = children[link].get(s, 0) if state else 0
                 queue.append(child)
-            for s, child in children[state].items():
-                self.step[state, s] = child
+        edges.sort()
+        self.keys = np.array([k for k, _ in edges], np.int64)
+        self.next = np.array([c for _, c in edges], np.int32)
+
+    def advance(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states after one more symbol each: along suffix links until there is a transition."""
+        out = np.zeros(len(state), np.int32)
+        state, todo = state.copy(), np.arange(len(state))
+        while len(todo):
+            key = state[todo].astype(np.int64) * self.width + symbol[todo]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            out[todo[hit]] = self.next[at[hit]]
+            todo = todo[~hit & (state[todo] > 0)]
+            state[todo] = self.suffix[state[todo]]
+        return out
 
 
 class Encoder:
     """Encodes words (strings of byte symbols) and chunks with the file at `path`."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_library: bool = False):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.by_library = Tokenizer.from_file(path), by_library
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.n_ids = max([*vocab.values(), *self.special.values()]) + 1
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.clear()
+        if by_library:
+            return
         self.merges = Merges(vocab, model["merges"], end)
-        names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.names = [names.get(i, "") for i in range(max(names) + 1)]
         # Symbols: each character inside a word, and each as a word's last.
         chars = sorted({t for t in vocab if len(t) == 1})
         self.symbol = {c: k for k, c in enumerate(chars)}
@@ -177,12 +202,11 @@ class Encoder:
         self.ends = bool(end)
         self.automaton = Automaton(spelled, 2 * self.n_chars, self.merges.n)
         self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-        self.clear()
 
     def clear(self) -> None:
         """An empty table of chunks and words."""
         self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.bounds = np.zeros(0, np.uint16 if len(self.names) <= 1 << 16 else np.uint32), np.zeros(1, np.int64)
+        self.flat, self.bounds = np.zeros(0, np.uint16 if self.n_ids <= 1 << 16 else np.uint32), np.zeros(1, np.int64)
         self.word_ids: dict[str, tuple[int, ...]] = {}
 
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
@@ -199,7 +223,7 @@ class Encoder:
         auto = self.automaton
         for i in range(1, longest + 1):
             live = int(np.searchsorted(-sizes, -i, "right"))
-            state = auto.step[state[:live], symbols[first[:live] + i - 1]]
+            state = auto.advance(state[:live], symbols[first[:live] + i - 1])
             token = auto.token[state]
             todo = np.arange(live)
             while len(todo):
@@ -225,8 +249,11 @@ class Encoder:
 
     def _split(self, chunk: str) -> list:
         """The words of a chunk, as strings of byte symbols; special tokens as ids."""
-        if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:
-            return self.plain.findall(chunk.lower())
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk.isprintable() and "<|" not in chunk:
+                return self.plain.findall(chunk.lower())
         parts = self.at_special.split(chunk) if self.at_special else [chunk]
         out: list = []
         for part in parts:
@@ -237,6 +264,9 @@ class Encoder:
         return out
 
     def chunk_ids(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of each chunk: by this module, or by the library itself."""
+        if self.by_library:
+            return [e.ids for lo in range(0, len(chunks), 8192) for e in self.library.encode_batch_fast(chunks[lo : lo + 8192], add_special_tokens=False)]
         split = [self._split(c) for c in chunks]
         new = list({w for ws in split for w in ws if isinstance(w, str) and w not in self.word_ids})
         for lo in range(0, len(new), 1 << 16):
@@ -251,7 +281,9 @@ class Encoder:
 
     def encode_terms(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All rows' ids and the rows' offsets in them; each chunk's number among the distinct ones, and the rows' offsets in those."""
-        starts, ends, bounds = blocks.words(data, offsets)
+        if data.tobytes().find(b"<|") < 0:  # special tokens are matched before lower-casing
+            data = blocks.LOWER[data]
+        starts, ends, bounds = blocks.words(data, offsets, kinds=KINDS)
         wanted, where, back = np.unique(blocks.hashes(data, starts, ends), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, wanted)
         new = np.flatnonzero((at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != wanted)) if len(self.keys) else np.arange(len(wanted))
@@ -266,7 +298,7 @@ class Encoder:
             keys = np.concatenate([self.keys, wanted[new]])
             order = np.argsort(keys, kind="stable")
             self.keys, self.places = keys[order], np.concatenate([self.places, places])[order]
-            if len(self.word_ids) > TABLE_CHUNKS // 4:
+            if len(self.word_ids) > TABLE_WORDS:
                 self.word_ids = {}
         place = self.places[np.searchsorted(self.keys, wanted)][back] if len(wanted) else np.zeros(0, np.int64)
         lengths = self.bounds[place + 1] - self.bounds[place]
@@ -274,14 +306,27 @@ class Encoder:
         return self.flat[blocks.spread(self.bounds[place], lengths)], total[bounds], back, bounds
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, by_library: bool = False) -> Encoder:
     """This process's encoder for the file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, by_library) not in _encoders:
+        _encoders[path, by_library] = Encoder(path, by_library)
+    return _encoders[path, by_library]
+
+
+_names: dict[str, list[str]] = {}
+
+
+def names(path: str) -> list[str]:
+    """The file's tokens by id."""
+    if path not in _names:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        by_id = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        _names[path] = [by_id.get(i, "") for i in range(max(by_id) + 1)]
+    return _names[path]
 
 
 def _encode(path: str):
@@ -303,9 +348,8 @@ def encode(frame: DataFrame, path: str, id_column: str = "doc_id", column: str =
 
 def _decode(path: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = encoder(path).names
-        raw = [n.encode() for n in names]
-        decimal = [str(i).encode() for i in range(len(names))]
+        raw = [n.encode() for n in names(path)]
+        decimal = [str(i).encode() for i in range(len(raw))]
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
