@@ -12,13 +12,11 @@ or wordless text has no words, no labels and score 0.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word before and the gap after A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words before A-Z are lower-cased, and after.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: phrase: label
@@ -87,8 +85,9 @@ def rules() -> list[tuple[str, str, str, int]]:
             out.append((word, f"{name}(?: the)?(?: as published by the free software foundation)?(?: either)? version {dots(v)}(?: \\d+)?(?: of the license)? or (?:at your option )?any later version", f"{exact}-or-later", 35))
             out.append((word, f"{name}(?: either)? (?:version|v) {dots(v)}(?! \\d)", exact, 30))
             out.append((word, f"{name} v?{dots(v)}(?! \\d)", exact, 30))
-            out.append((label.split("-")[0], f"{label.replace('-', ' ')} v?{dots(v)} only", f"{exact}-only", 28))
-            out.append((label.split("-")[0], f"{label.replace('-', ' ')} v?{dots(v)} or later", f"{exact}-or-later", 28))
+            if label.endswith("gpl"):
+                out.append((label, f"{label} v?{dots(v)} only", f"{exact}-only", 28))
+                out.append((label, f"{label} v?{dots(v)} or later", f"{exact}-or-later", 28))
         out.append((word, f"(?:licensed|released|distributed|available) under the(?: terms of the)? {name}", label, 20))
         out.append((word, name, label, 10))
     for name, label in CREATIVE.items():
@@ -99,14 +98,17 @@ def rules() -> list[tuple[str, str, str, int]]:
     return out
 
 
-def _gate() -> str:
-    r"""A cheap regex that every text with a keyword of a rule or base phrase satisfies; (?i) covers A-Z only. Keywords of two
-    letters would let too many texts pass, so `cc` needs the word `by` after it."""
-    words = sorted({k for k, *_ in rules()} - {"cc"})
-    short = [w for w in words if len(w) < 5]
-    stems = [w for w in words if len(w) >= 5 and not any(o != w and o in w for o in words)]
-    bound = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
-    return f"(?i){'|'.join(map(re.escape, stems))}|(?:^|{bound})(?:cc{bound}+by|{'|'.join(map(re.escape, short))})(?:$|{bound})"
+#: Every rule and base phrase has one of these, or the words `cc by`.
+STEMS = ("licen", "creative", "permission", "redistribut", "unencumbered", "domain", "reserved", "identifier", "gpl")
+
+
+def _gate(text: Column) -> Column:
+    """Whether any rule can apply: plain substring tests of the lower-cased text, which only lets more through than A-Z alone."""
+    low = F.lower(text)
+    found = low.contains(STEMS[0])
+    for stem in STEMS[1:]:
+        found = found | low.contains(stem)
+    return found | low.contains("cc") & low.rlike("cc[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+by")
 
 
 def _marked(text: Column, regex: Column) -> Column:
@@ -144,9 +146,9 @@ def scan(frame: DataFrame, column: str = "text") -> DataFrame:
     base = [(p.split()[-1], p, label, 0) for p, label in BASE.items()]
     every = rules()
     keys = F.array(*[F.lit(k) for k in sorted({k for k, *_ in every})])
-    out = frame.withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long"))
+    out = frame.withColumn("n_words", F.size(F.array_remove(F.split(text, BETWEEN), "")).cast("long"))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    out = out.withColumn("_norm", F.when(text.rlike(_gate()), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, upper, lower), GAP, " ")), F.lit(" "))))
+    out = out.withColumn("_norm", F.when(_gate(text), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, upper, lower), GAP, " ")), F.lit(" "))))
     out = out.withColumn("_bag", F.array_intersect(F.split("_norm", " "), keys))
     out = out.withColumn("_base", F.coalesce(_found("_norm", base, None), F.array()))
     out = out.withColumn("_all", F.coalesce(_found("_norm", every, "_bag"), F.array()))
