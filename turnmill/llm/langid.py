@@ -31,6 +31,8 @@ SLOTS = 1 << 21
 HASHES = 2
 RATIO = 0.2
 WORD_BITS = 63
+#: The least score of an accepted text: this share of its trigrams is known in its language.
+LEAST = 0.35
 
 _tables: list[np.ndarray] = []
 
@@ -146,24 +148,32 @@ def fit(frame: DataFrame, column: str = "text", lang: str = "lang") -> Filters:
     return Filters(langs, words)
 
 
-def _predict(filters):
+def _predict(filters, at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = filters.value
         for batch in batches:
             langs, scores = [], []
-            for _, _, data, offsets in blocks.slices(*blocks.flat(batch.column(batch.num_columns - 1))):
+            for _, _, data, offsets in blocks.slices(*blocks.flat(batch.column(at))):
                 lang, score = own.predict(data, offsets)
                 langs += lang
                 scores.append(score)
-            arrays = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "lang_pred", "score"])
+            kept = batch.columns[: len(names) - 2]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], names)
 
     return run
 
 
-def predict(frame: DataFrame, filters: Filters, column: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all by default) with lang_pred and score."""
-    names = frame.columns if keep is None else keep
-    rows = frame.select(*names, F.col(column).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"), "lang_pred string, score double"])
-    return rows.mapInArrow(_predict(frame.sparkSession.sparkContext.broadcast(filters)), schema)
+def predict(frame: DataFrame, filters: Filters, column: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` (all by default) with the predicted language and the score under `names`."""
+    kept = frame.columns if keep is None else keep
+    rows = frame.select(*kept) if column in kept else frame.select(*kept, column)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept), f"`{names[0]}` string, `{names[1]}` double"])
+    run = _predict(frame.sparkSession.sparkContext.broadcast(filters), rows.columns.index(column), [*kept, *names])
+    return rows.mapInArrow(run, schema)
+
+
+def accepted(frame: DataFrame, filters: Filters, column: str = "text", least: float = LEAST) -> DataFrame:
+    """The rows in a known language: those with a letter and a score of at least `least`; all that have a letter if nothing was learned."""
+    names = blocks.unused(frame.columns, "lang_pred"), blocks.unused(frame.columns, "score")
+    judged = predict(frame, filters, column, names=names)
+    return judged.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= least)).drop(*names) if filters.langs else frame.filter(F.col(column).rlike(r"\p{L}"))

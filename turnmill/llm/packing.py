@@ -111,7 +111,7 @@ def tail_cuts(size: int) -> list[int]:
 
 def _pack(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bpe.encoder(path)
+        own = bpe.encoder(path, by_library=True)
         packer = Packer(TaskContext.get().partitionId() << 32)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
@@ -119,13 +119,17 @@ def _pack(path: str, with_ids: bool):
             columns = [pa.array([p[k] for p in pieces], pa.int64()) for k in (0, 1, 2)]
             columns.append(pa.array([zlib.crc32(p[6].astype("<u4").tobytes()) for p in pieces], pa.int64()))
             columns += [pa.array([p[k] for p in pieces], pa.int64()) for k in (5, 3, 4)]
-            columns.append(pa.array([p[6].tolist() for p in pieces] if with_ids else [None] * len(pieces), pa.list_(pa.int32())))
+            if with_ids:
+                ends = np.cumsum([0] + [len(p[6]) for p in pieces], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([p[6] for p in pieces]).astype(np.int32))))
+            else:
+                columns.append(pa.nulls(len(pieces), pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(columns, names)
 
         open_: list = []  # the pieces of the window that is not full
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for lo, hi, data, offsets in blocks.slices(*blocks.flat(batch.column(1)), 4 << 20):
+            for lo, hi, data, offsets in blocks.slices(*blocks.flat(batch.column(1)), 3 << 20):
                 for a in range(lo, hi, BLOCK_DOCS):
                     b = min(hi, a + BLOCK_DOCS)
                     part = offsets[a - lo : b - lo + 1]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kneser, langid, licenses, lines, media, packing, preference, urls
+from . import bpe, jaccard, kneser, langid, licenses, lines, media, packing, preference, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +23,11 @@ def word_bpe() -> str:
 
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = kneser.trusted_ids(_table(spark, sf_dir, "labels"))
-    return kneser.judge(_table(spark, sf_dir, "documents"), trusted)
+    return kneser.judge(_table(spark, sf_dir, "documents"), trusted).drop("key")
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_ids(_table(spark, sf_dir, "documents"))
 
 
 def op3_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +77,7 @@ def op10_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kneser_ney, op3_telephony_audio, op4_bm25_packing, op5_license_rules, op6_line_frequency, op7_url_digests, op8_preference_pairs, op9_prefix_bpe, op10_bitmask_langid)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_ngram_jaccard, op3_telephony_audio, op4_bm25_packing, op5_license_rules, op6_line_frequency, op7_url_digests, op8_preference_pairs, op9_prefix_bpe, op10_bitmask_langid)}
 
 
 SPACE = "[\\x20\\x09-\\x0D]"
