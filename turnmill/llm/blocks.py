@@ -7,6 +7,7 @@ the longest single row.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -126,7 +127,20 @@ def shared(spark) -> str:
 
 
 def stored(spark, frame, codec: str = "zstd"):
-    """The frame written as Parquet below the shared folder and read again: lineage ends there, and a lost executor costs no recomputation."""
+    """The frame written as Parquet below the shared folder and read again: lineage ends there, and a lost executor costs no
+    recomputation. The driver's garbage is collected, which frees the shuffle files of plans that are done with."""
     path = shared(spark)
     frame.write.option("compression", codec).parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.stored_at = path
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def drop(*frames) -> None:
+    """Deletes tables of `stored` that nothing reads any more."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

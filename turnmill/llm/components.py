@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("high"), F.col("m").alias("low")).filter("high <> low").distinct()
         top = large.groupBy("high").agg(F.min("low").alias("m"))
         small = large.join(top, "high").select(F.col("low").alias("high"), F.col("m").alias("low")).filter("high <> low")
-        links = blocks.stored(spark, small.union(top.select("high", F.col("m").alias("low"))).distinct())
+        before, links = links, blocks.stored(spark, small.union(top.select("high", F.col("m").alias("low"))).distinct())
+        blocks.drop(before)
         now = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("high", "low")).alias("h")).first()
         if now == state:
             break

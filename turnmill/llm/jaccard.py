@@ -14,9 +14,10 @@ Lists are answered in two steps.
 2. In a list whose sets are not yet in one component, the sets outside its
    largest component are compared with the others. The list is cut into blocks
    by set size with each block's most remaining positions, so blocks that cannot
-   reach the needed overlap are skipped whole; pairs are skipped by position, and
-   by what the answers for a common pivot imply: sets a and b with overlaps
-   x and y with the same pivot share at most min(x, y) + min(|a| - x, |b| - y).
+   reach the needed overlap are skipped whole; pairs are skipped by position, by
+   the number of lists they share, and by what the answers for a common pivot
+   imply: sets a and b with overlaps x and y with the same pivot share at most
+   min(x, y) + min(|a| - x, |b| - y).
 
 Every pair of similar sets is compared, or lies in one component already, so
 the components are exact. Pairs are checked on the whole sets.
@@ -128,8 +129,8 @@ def _pivots(shingle: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.n
     return first, np.repeat(np.arange(len(first)), length), np.repeat(length > 1, length)
 
 
-def _votes(shingle, name, size, place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, pivot, lists) over rows sorted by (shingle, name); pairs that size or position rule out get no vote."""
+def _votes(shingle, name, size, place) -> tuple[np.ndarray, ...]:
+    """(set, pivot, lists, the set's size) over rows sorted by (shingle, name); pairs that size or position rule out get no vote."""
     first, own, several = _pivots(shingle, name, size, place)
     pivot = first[own]
     rows = np.flatnonzero(several & (np.arange(len(name)) != pivot))
@@ -139,11 +140,11 @@ def _votes(shingle, name, size, place) -> tuple[np.ndarray, np.ndarray, np.ndarr
     can = (100 + PERCENT) * most.astype(np.int64) >= PERCENT * total
     rows, at = rows[can], at[can]
     if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     order = np.lexsort((name[at], name[rows]))
-    x, p = name[rows][order], name[at][order]
+    x, p, n = name[rows][order], name[at][order], size[rows][order]
     new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (p[1:] != p[:-1])]))
-    return x[new], p[new], np.diff(np.append(new, len(x)))
+    return x[new], p[new], np.diff(np.append(new, len(x))), n[new].astype(np.int64)
 
 
 INDEX = "kind int, bucket int, packed binary, shingle long, name long, other long, n long, place long"
@@ -163,7 +164,7 @@ def _list_rows(shingle, name, size, place, several) -> pa.RecordBatch:
 
 def _index(frequent, buckets: int):
     """Rows of INDEX from documents: kind 0, packed rows for the buckets of shingles; kind 1, members of lists that have several sets
-    here; kind 2, votes (name, other: its pivot, n: lists). Only a list's pivot here goes on to the bucket."""
+    here; kind 2, votes (name, other: its pivot, n: lists, place: the set's size). Only a list's pivot here goes on to the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, times = frequent.value
@@ -182,9 +183,9 @@ def _index(frequent, buckets: int):
             first, _, several = _pivots(shingle, name, n, place)
             if several.any():
                 yield _list_rows(shingle, name, n, place, several)
-                x, p, votes = _votes(shingle, name, n, place)
+                x, p, votes, sizes = _votes(shingle, name, n, place)
                 if len(x):
-                    yield _rows(2, name=x, other=p, n=votes)
+                    yield _rows(2, name=x, other=p, n=votes, place=sizes)
             shingle, name, n, place = shingle[first], name[first], n[first], place[first]
             several = several[first]
             bucket = ((shingle.view(np.uint64) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
@@ -255,9 +256,9 @@ def _meet(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _, _, many = _pivots(shingle, name, n, place)
     if many.any():
         yield _list_rows(shingle, name, n, place, many)
-        x, p, votes = _votes(shingle, name, n, place)
+        x, p, votes, sizes = _votes(shingle, name, n, place)
         if len(x):
-            yield _rows(2, name=x, other=p, n=votes)
+            yield _rows(2, name=x, other=p, n=votes, place=sizes)
 
 
 def _fetch(wanted):
@@ -331,7 +332,9 @@ class Join:
         found = self.texts.mapInArrow(_fetch(self.spark.sparkContext.broadcast(bits)), "name long, set binary")
         sets = self.keep(found.join(names.distinct(), "name", "left_semi").groupBy("name").agg(F.first("set").alias("set")))
         both = pairs.join(sets.withColumnsRenamed({"name": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"name": "b", "set": "sb"}), "b")
-        return self.keep(both.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long, na long, nb long, overlap long"))
+        out = self.keep(both.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long, na long, nb long, overlap long"))
+        blocks.drop(sets)
+        return out
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """(doc_id, key, n, name) of every row, and (name, root) of every set that is not empty: sets of one component have one root."""
@@ -344,12 +347,15 @@ class Join:
         meet = self.keep(packed.groupBy("bucket").applyInArrow(_meet_group, INDEX))
         rows = index.filter("kind > 0").drop("packed").union(meet.drop("packed"))
         lists = rows.filter("kind = 1").select("shingle", "name", "n", "place")
-        votes = rows.filter("kind = 2").groupBy("name", "other").agg(F.sum("n").alias("votes"))
+        votes = rows.filter("kind = 2").groupBy("name", "other").agg(F.sum("n").alias("votes"), F.max("place").alias("n"))
+        # Two similar sets share about a tenth of their shingles in prefixes; pivots with less than half of that are left to step 2.
+        votes = votes.filter(20 * F.col("votes") >= F.col("n"))
         first = votes.groupBy("name").agg(F.max_by("other", F.struct("votes", "other")).alias("b")).select(F.col("name").alias("a"), "b")
         answers = self.verify(self.keep(first))
         linked = 100 * F.col("overlap") >= PERCENT * (F.col("na") + F.col("nb") - F.col("overlap"))
         labels = self.keep(components(answers.filter(linked)))
         rest = self.rest(lists, labels, answers)
+        blocks.drop(index, meet)
         more = self.verify(rest).filter(linked)
         group = lambda t, c, to: t.join(labels.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
         joined = components(group(group(more, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
@@ -378,18 +384,20 @@ class Join:
         known = answers.select(F.col("a").alias("name"), F.col("b").alias("pivot"), F.col("overlap").alias("with_pivot"))
         rows = lists.distinct().join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
         mixed = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
-        rows = self.keep(rows.join(mixed, "shingle").join(known, "name", "left").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")))
+        rows = kept = self.keep(rows.join(mixed, "shingle").join(known, "name", "left").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")))
         sizes = rows.groupBy("shingle", "component").count()
         major = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("count", "component")).alias("major"))
         rows = rows.join(major, "shingle")
         needs = 100 + PERCENT
-        # Each list's blocks by size, with the most positions that any of a block's sets has left.
-        heads = rows.groupBy("shingle", "band").agg(F.max(F.col("n") - F.col("place")).alias("left"), F.min("n").alias("least"))
+        # Each list's blocks by size, with the most places that a block's sets have before and from this shingle on. What two sets
+        # share is at most the less of their places before it and the less of what is left from it, in every list of both.
+        heads = rows.groupBy("shingle", "band").agg(F.max("place").alias("before"), F.max(F.col("n") - F.col("place")).alias("left"), F.min("n").alias("least"))
+        own = F.col("n") - F.col("place")
         left = rows.filter("component <> major").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-        left = left.join(heads, ["shingle", "band"]).filter(needs * F.least(F.col("n") - F.col("place"), F.col("left")) >= PERCENT * (F.col("n") + F.col("least")))
+        left = left.join(heads, ["shingle", "band"]).filter(needs * (F.least("place", "before") + F.least(own, F.col("left"))) >= PERCENT * (F.col("n") + F.col("least")))
         x = left.select("shingle", "band", *(F.col(c).alias(f"x_{c}") for c in ("name", "n", "place", "component", "pivot", "with_pivot")))
         y = rows.select("shingle", "band", "major", *(F.col(c).alias(f"y_{c}") for c in ("name", "n", "place", "component", "pivot", "with_pivot")))
-        most = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+        most = F.least("x_place", "y_place") + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
         total = PERCENT * (F.col("x_n") + F.col("y_n"))
         by_pivot = F.least("x_with_pivot", "y_with_pivot") + F.least(F.col("x_n") - F.col("x_with_pivot"), F.col("y_n") - F.col("y_with_pivot"))
         pairs = x.join(y, ["shingle", "band"]).filter(
@@ -401,7 +409,14 @@ class Join:
             & F.coalesce(F.col("y_pivot") != F.col("x_name"), F.lit(True))
             & F.coalesce((F.col("x_pivot") != F.col("y_pivot")) | (needs * by_pivot >= total), F.lit(True))
         )
-        return self.keep(pairs.select(F.least("x_name", "y_name").alias("a"), F.greatest("x_name", "y_name").alias("b")).distinct())
+        # All lists that two sets share are there, so their number is that of common shingles in both prefixes; the other common ones
+        # come after the prefix that ends first.
+        beyond = lambda n: F.floor((PERCENT * F.col(n) + 99) / 100) - 1
+        pairs = pairs.select(F.least("x_name", "y_name").alias("a"), F.greatest("x_name", "y_name").alias("b"), total.alias("total"), F.greatest(beyond("x_n"), beyond("y_n")).alias("beyond"))
+        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("total").alias("total"), F.first("beyond").alias("beyond"))
+        out = self.keep(pairs.filter(needs * (F.col("shared") + F.col("beyond")) >= F.col("total")).select("a", "b"))
+        blocks.drop(kept)
+        return out
 
 
 def _meet_group(table: pa.Table) -> pa.Table:
