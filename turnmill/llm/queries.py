@@ -106,6 +106,16 @@ select r.doc_id, n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l))
 from r left join u using (rowid_) left join dep on dep.text is not distinct from r.text and dep.source is not distinct from r.source
 """
 
+OP2 = f"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '{SPACE}+'), lambda w: w <> '') w from documents),
+h as (select doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ') || chr(10) || len(w)] else [] end) s from d),
+u as materialized (select doc_id, len(s)::bigint n, unnest(s) x from h),
+c as materialized (select a.doc_id a, b.doc_id b, count(*) o, any_value(a.n) na, any_value(b.n) nb from u a join u b using (x) where a.doc_id <> b.doc_id group by 1, 2),
+l as materialized (select a, b from c where 100 * o >= 75 * (na + nb - o)),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on l.a = r.b)
+select doc_id, len(s)::bigint n_shingles, least(doc_id, coalesce((select min(b) from r where r.a = h.doc_id), doc_id)) component_id from h
+"""
+
 _FITS = " ".join(f"when (host = '{h}' or host like '%.{h}') and starts_with(path, '{p}') then '{v}'" for h, p, v in ((*((e.split("/", 1)[0], "/" + e.split("/", 1)[1])), e) for e in sorted(URL_RULES, key=len, reverse=True)))
 _LISTED = " or ".join(f"(host = '{e.split('/', 1)[0]}' or host like '%.{e.split('/', 1)[0]}') and starts_with(path, '/{e.split('/', 1)[1]}')" for e in URL_LIST)
 OP7 = f"""
@@ -127,4 +137,4 @@ select pair_id, n n_prompt_turns, {_RENDER.format(x="q")} prompt, {_RENDER.forma
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_frequency": OP6, "op7_url_digests": OP7, "op8_preference_pairs": OP8}
+    return {"op2_ngram_jaccard": OP2, "op6_line_frequency": OP6, "op7_url_digests": OP7, "op8_preference_pairs": OP8}
