@@ -7,6 +7,7 @@ the longest single row.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,12 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim(0)
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
 #: The separators of words: space and \t \n \v \f \r.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -48,6 +55,14 @@ def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> I
         hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1))
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Gives memory that was freed back to the system; workers live on after a task, and their executor's memory is one budget."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 
-TABLE_CHUNKS = 500_000
+TABLE_CHUNKS = 1_500_000
 TABLE_WORDS = 100_000
 SLICE = 1 << 20
 #: Chunks are also cut between ASCII letters and these marks, where the file's pattern always splits; bytes are lower-cased first.
@@ -169,6 +170,7 @@ class Encoder:
     """Encodes words (strings of byte symbols) and chunks with the file at `path`."""
 
     def __init__(self, path: str, by_library: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library, self.by_library = Tokenizer.from_file(path), by_library
@@ -295,9 +297,8 @@ class Encoder:
             places = len(self.bounds) - 1 + np.arange(len(new))
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
             self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), self.flat.dtype)])
-            keys = np.concatenate([self.keys, wanted[new]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.places = keys[order], np.concatenate([self.places, places])[order]
+            at = np.searchsorted(self.keys, wanted[new])
+            self.keys, self.places = np.insert(self.keys, at, wanted[new]), np.insert(self.places, at, places)
             if len(self.word_ids) > TABLE_WORDS:
                 self.word_ids = {}
         place = self.places[np.searchsorted(self.keys, wanted)][back] if len(wanted) else np.zeros(0, np.int64)

@@ -20,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,7 +32,8 @@ CLOSING = 2
 BLOCK_DOCS = 1024
 K1, B = 1.2, 0.75
 #: Terms in at least this many documents of a block go through the matrix product.
-LONG_LIST = 48
+LONG_LIST = 32
+PAIRS = 1 << 20
 
 
 def bm25(terms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -58,13 +58,16 @@ def bm25(terms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         dense[row[long], number] = weight[long]
         scores += (dense > 0).astype(np.float32) @ dense.T
     term, row, weight = term[~long], row[~long], weight[~long]
-    if len(term):
-        first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-        size = np.diff(np.append(first, len(term)))
-        each = np.repeat(size, size)
-        seed = np.repeat(row, each)
-        at = blocks.spread(np.repeat(first, size), each)
-        scores += np.bincount(seed * rows + row[at], weight[at], rows * rows).reshape(rows, rows).astype(np.float32)
+    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(term)))
+    each, start = np.repeat(size, size), np.repeat(first, size)
+    made = np.cumsum(each)
+    lo = 0
+    while lo < len(term):  # postings meet in parts of at most about PAIRS
+        hi = max(lo + 1, int(np.searchsorted(made, made[lo] - each[lo] + PAIRS, "right")))
+        at = blocks.spread(start[lo:hi], each[lo:hi])
+        scores += np.bincount(np.repeat(row[lo:hi], each[lo:hi]) * rows + row[at], weight[at], rows * rows).reshape(rows, rows).astype(np.float32)
+        lo = hi
     return scores
 
 
@@ -129,7 +132,7 @@ def _pack(path: str, with_ids: bool):
         open_: list = []  # the pieces of the window that is not full
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for lo, hi, data, offsets in blocks.slices(*blocks.flat(batch.column(1)), 3 << 20):
+            for lo, hi, data, offsets in blocks.slices(*blocks.flat(batch.column(1)), 2 << 20):
                 for a in range(lo, hi, BLOCK_DOCS):
                     b = min(hi, a + BLOCK_DOCS)
                     part = offsets[a - lo : b - lo + 1]
@@ -162,22 +165,23 @@ def _pack(path: str, with_ids: bool):
     return run
 
 
-def _least_hash(column: pd.Series) -> pd.Series:
-    out = []
-    for _, _, data, offsets in blocks.slices(*blocks.flat(pa.array(column, pa.large_string()))):
+def _least_hash(column: pa.Array) -> pa.Array:
+    """Each text's least word hash; -1 without words."""
+    out = [np.zeros(0, np.int64)]
+    for _, _, data, offsets in blocks.slices(*blocks.flat(column)):
         starts, ends, bounds = blocks.words(data, offsets)
         least = np.full(len(offsets) - 1, -1, np.int64)
         some = np.flatnonzero(np.diff(bounds))
         if len(some):
             least[some] = (np.minimum.reduceat(blocks.hashes(data, starts, ends), bounds[some]) >> np.uint64(1)).astype(np.int64)
         out.append(least)
-    return pd.Series(np.concatenate(out) if out else np.zeros(0, np.int64))
+    return pa.array(np.concatenate(out))
 
 
 def pack(frame: DataFrame, path: str, id_column: str = "doc_id", column: str = "text", with_ids: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids): every token of every document in exactly one piece
     (ids null without with_ids). Sequences have WINDOW tokens, or a smaller power of two at a shard's end."""
-    least = F.pandas_udf(_least_hash, "long")
+    least = F.arrow_udf(_least_hash, "long")
     rows = frame.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("string").alias("text")).withColumn("key", least("text"))
     shards = rows.repartitionByRange(F.col("key"), F.col("id")).sortWithinPartitions("key", "id", F.xxhash64("text"))
     return shards.select("id", "text").mapInArrow(_pack(path, with_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
