@@ -423,6 +423,7 @@ def copies(seed):
 @pytest.mark.parametrize("seed", [0, 1, 2])
 def test_components_equal_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT_LEAST", 8)
+    monkeypatch.setattr(jaccard, "LONG", 4)
     rows = copies(seed) + ODD
     got = jaccard.component_ids(documents(spark, rows).repartition(5))
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(slow_components(rows), key=str)
