@@ -5,12 +5,14 @@ those that are frequent by the counts of each task's own documents come last,
 the rest in order of their hash. Similar sets share a shingle of their prefixes
 in that order, so only prefixes go into the index lists.
 
-Lists are answered in two steps.
+Lists are answered in steps.
 
 1. In each list every set is set against the list's pivot, first within each
    task's documents, then among the tasks' pivots; a set is compared with the
    pivot that most of its lists name. The links found connect nearly all sets
-   of a group of copies at a cost in proportion to their number.
+   of a group of copies at a cost in proportion to their number. In long lists
+   that are not yet in one component, the same is done again with pivots of
+   several random orders.
 2. In a list whose sets are not yet in one component, the sets outside its
    largest component are compared with the others. The list is cut into blocks
    by set size with each block's most remaining positions, so blocks that cannot
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -44,11 +46,18 @@ from .components import components
 WORDS = 5
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Shingles are gathered up to this number before a task counts or indexes them.
-GATHER = 2_000_000
+#: Shingles are gathered up to these numbers before a task indexes or counts them.
+GATHER = 1_000_000
+COUNTED = 4_000_000
 #: At most 1 / FREQUENT shingles can each have that share of all of them: this bounds what is broadcast.
-FREQUENT = 1e-6
+FREQUENT = 2.5e-7
 FREQUENT_LEAST = 64
+#: Each set in lists of at least LONG sets meets the pivots of ORDERS orders in LISTS of its lists, ROUNDS times, before pairs are
+#: looked at.
+LONG = 64
+ORDERS = 16
+LISTS = 3
+ROUNDS = 2
 BLOOM_SLOTS = 1 << 22
 
 _FACTORS = np.random.default_rng(20240202).integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,7 +103,7 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = np.sort(np.concatenate(held))
         first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
         times = np.diff(np.append(first, len(every)))
-        often = times > 2
+        often = times > 1
         none = [pa.nulls(int(often.sum()), pa.int64())] * 4
         return pa.RecordBatch.from_arrays([*none, pa.array(every[first[often]].view(np.int64)), pa.array(times[often].astype(np.int64))], names_of)
 
@@ -108,7 +117,7 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(name)
                 held.append(own)
                 size += len(own)
-                if size >= GATHER:
+                if size >= COUNTED:
                     yield shared()
                     held, size = [], 0
                     seen.clear()
@@ -116,12 +125,18 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), *none], names_of)
     if held:
         yield shared()
+    held = []
+    blocks.release()
 
 
 def prefix_length(n):
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def prefix_length_of(n: str):
+    return F.col(n) - F.floor((PERCENT * F.col(n) + 99) / 100) + 1
+
+
 def _pivots(shingle: np.ndarray, name: np.ndarray, size: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
     """For rows sorted by (shingle, name): the first row of each list, each row's list, and rows in lists of two or more."""
     first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])) if len(shingle) else np.zeros(0, np.int64)
@@ -219,6 +234,8 @@ def _index(frequent, buckets: int):
                     seen.clear()
         if held:
             yield from flush()
+        held = []
+        blocks.release()
 
     return run
 
@@ -302,6 +319,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at[at == len(large)] = 0
             rows.append((len(x), len(y), int(np.count_nonzero(large[at] == small))))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3))], ["a", "b", "na", "nb", "overlap"])
+    blocks.release()
 
 
 class Join:
@@ -322,17 +340,24 @@ class Join:
         order = np.argsort(shingle)
         return self.spark.sparkContext.broadcast((shingle[order], rows.column(1).to_numpy()[order]))
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, na, nb, overlap) of the pairs (a, b), from the whole sets. Texts are read again for sets that pass a Bloom filter of
-        fixed size; what it lets through falsely finds no pair."""
-        names = pairs.select(F.col("a").alias("name")).union(pairs.select("b"))
+    def fetch(self, names: DataFrame) -> DataFrame:
+        """(name, set) of the names. Texts are read again for sets that pass a Bloom filter of fixed size; what it lets through falsely
+        finds no name."""
         slots = names.select(F.pmod("name", F.lit(BLOOM_SLOTS)).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
         bits = np.zeros(BLOOM_SLOTS, bool)
         bits[slots] = True
         found = self.texts.mapInArrow(_fetch(self.spark.sparkContext.broadcast(bits)), "name long, set binary")
-        sets = self.keep(found.join(names.distinct(), "name", "left_semi").groupBy("name").agg(F.first("set").alias("set")))
+        return self.keep(found.join(names.distinct(), "name", "left_semi").groupBy("name").agg(F.first("set").alias("set")))
+
+    def compare(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b, na, nb, overlap) of the pairs (a, b), from the whole sets."""
         both = pairs.join(sets.withColumnsRenamed({"name": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"name": "b", "set": "sb"}), "b")
-        out = self.keep(both.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long, na long, nb long, overlap long"))
+        return self.keep(both.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long, na long, nb long, overlap long"))
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """As `compare`, with the sets of just these pairs."""
+        sets = self.fetch(pairs.select(F.col("a").alias("name")).union(pairs.select("b")))
+        out = self.compare(pairs, sets)
         blocks.drop(sets)
         return out
 
@@ -351,17 +376,23 @@ class Join:
         # Two similar sets share about a tenth of their shingles in prefixes; pivots with less than half of that are left to step 2.
         votes = votes.filter(20 * F.col("votes") >= F.col("n"))
         first = votes.groupBy("name").agg(F.max_by("other", F.struct("votes", "other")).alias("b")).select(F.col("name").alias("a"), "b")
-        answers = self.verify(self.keep(first))
+        # A prefix shingle without a list is in no other set, so a set shares at most the rest: `cap`.
+        lists = lists.distinct()
+        caps = lists.groupBy("name").agg((F.max("n") - (F.max(prefix_length_of("n")) - F.count("*"))).alias("cap"))
+        first, lists = self.keep(first), self.keep(lists.join(caps, "name"))
+        blocks.drop(index, meet)
+        answers = self.verify(first)
         linked = 100 * F.col("overlap") >= PERCENT * (F.col("na") + F.col("nb") - F.col("overlap"))
         labels = self.keep(components(answers.filter(linked)))
-        rest = self.rest(lists, labels, answers)
-        blocks.drop(index, meet)
-        more = self.verify(rest).filter(linked)
+        long = self.keep(lists.join(lists.groupBy("shingle").agg(F.count("*").alias("members")).filter(F.col("members") >= LONG).select("shingle"), "shingle", "left_semi"))
+        sets = self.fetch(long.select("name"))
+        for k in range(ROUNDS):
+            labels = self.joined(labels, self.compare(self.pivoted(long, labels, k), sets).filter(linked))
+        blocks.drop(long, sets)
+        labels = self.joined(labels, self.verify(self.rest(lists, labels, answers)).filter(linked))
         group = lambda t, c, to: t.join(labels.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
-        joined = components(group(group(more, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        sets = group(documents.filter("name is not null").select("name").distinct(), "name", "one")
-        sets = sets.join(joined.select(F.col("node").alias("one"), F.col("component").alias("two")), "one", "left")
-        return documents, self.keep(sets.select("name", F.coalesce("two", "one").alias("root")))
+        blocks.drop(lists)
+        return documents, self.keep(group(documents.filter("name is not null").select("name").distinct(), "name", "root"))
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
@@ -379,30 +410,63 @@ class Join:
         first = rows.groupBy("name").agg(F.min(order).alias("first")).join(sets, "name").groupBy("root").agg(F.min("first").alias("first"))
         return first.select("first.doc_id", "first.key", "first.copies")
 
+    def joined(self, labels: DataFrame, links: DataFrame) -> DataFrame:
+        """The labels (node, component) after more links (a, b)."""
+        of = lambda t, c, to: t.join(labels.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
+        merged = self.keep(components(of(of(links.select("a", "b"), "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+        moved = labels.join(merged.select(F.col("component").alias("to"), F.col("node").alias("component")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        return self.keep(moved.union(merged).distinct())
+
+    def mixed(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows of lists whose sets are not all in one component, with `component`."""
+        rows = lists.join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+        several = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
+        return rows.join(several, "shingle")
+
+    def pivoted(self, long: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+        """(a, b): each set of the long lists with the pivots of several random orders, in LISTS of its lists. A group whose sets are
+        similar to many of the others, but not to all, is joined by this at a cost in proportion to its size; what it leaves is left
+        to `rest`."""
+        rows = self.keep(self.mixed(long, labels))
+        own = F.struct(*(F.col(c).alias(f"p_{c}") for c in ("name", "n", "place", "component", "cap")))
+        pivots = rows.groupBy("shingle").agg(F.array(*[F.min_by(own, F.xxhash64(F.lit(turn * ORDERS + k), "name")) for k in range(ORDERS)]).alias("pivots"))
+        few = rows.withColumn("turn", F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64(F.lit(turn), "shingle")))).filter(F.col("turn") <= LISTS)
+        met = few.join(pivots.select("shingle", F.explode("pivots").alias("p")), "shingle").select("name", "n", "place", "component", "cap", "p.*")
+        most = F.least(F.least("place", "p_place") + F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place")), F.col("cap"), F.col("p_cap"))
+        met = met.filter((F.col("component") != F.col("p_component")) & (100 * F.least("n", "p_n") >= PERCENT * F.greatest("n", "p_n")) & ((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("p_n"))))
+        out = self.keep(met.select(F.least("name", "p_name").alias("a"), F.greatest("name", "p_name").alias("b")).distinct())
+        blocks.drop(rows)
+        return out
+
     def rest(self, lists: DataFrame, labels: DataFrame, answers: DataFrame) -> DataFrame:
         """(a, b): the pairs of step 2."""
         known = answers.select(F.col("a").alias("name"), F.col("b").alias("pivot"), F.col("overlap").alias("with_pivot"))
-        rows = lists.distinct().join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-        mixed = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
-        rows = kept = self.keep(rows.join(mixed, "shingle").join(known, "name", "left").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")))
+        needs = 100 + PERCENT
+        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")
+        # Two sets of which neither can share enough with one of its own size are not similar: one of a pair must be `full`.
+        full = needs * F.col("cap") >= 2 * PERCENT * F.col("n")
+        rows = kept = self.keep(self.mixed(lists, labels).join(known, "name", "left").withColumns({"band": band, "full": full}))
         sizes = rows.groupBy("shingle", "component").count()
         major = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("count", "component")).alias("major"))
         rows = rows.join(major, "shingle")
-        needs = 100 + PERCENT
         # Each list's blocks by size, with the most places that a block's sets have before and from this shingle on. What two sets
         # share is at most the less of their places before it and the less of what is left from it, in every list of both.
-        heads = rows.groupBy("shingle", "band").agg(F.max("place").alias("before"), F.max(F.col("n") - F.col("place")).alias("left"), F.min("n").alias("least"))
+        heads = rows.groupBy("shingle", "band").agg(F.max("place").alias("before"), F.max(F.col("n") - F.col("place")).alias("left"), F.min("n").alias("least"), F.max("cap").alias("most"))
         own = F.col("n") - F.col("place")
         left = rows.filter("component <> major").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-        left = left.join(heads, ["shingle", "band"]).filter(needs * (F.least("place", "before") + F.least(own, F.col("left"))) >= PERCENT * (F.col("n") + F.col("least")))
-        x = left.select("shingle", "band", *(F.col(c).alias(f"x_{c}") for c in ("name", "n", "place", "component", "pivot", "with_pivot")))
-        y = rows.select("shingle", "band", "major", *(F.col(c).alias(f"y_{c}") for c in ("name", "n", "place", "component", "pivot", "with_pivot")))
-        most = F.least("x_place", "y_place") + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+        left = left.join(heads, ["shingle", "band"]).filter(needs * F.least(F.least("place", "before") + F.least(own, F.col("left")), F.col("cap"), F.col("most")) >= PERCENT * (F.col("n") + F.col("least")))
+        columns = ("name", "n", "place", "component", "pivot", "with_pivot", "cap", "full")
+        x = left.select("shingle", "band", *(F.col(c).alias(f"x_{c}") for c in columns))
+        y = rows.select("shingle", "band", "major", *(F.col(c).alias(f"y_{c}") for c in columns))
+        major_y = F.col("y_component") == F.col("major")
+        # A full set of a small component meets all others, another one the full sets of the largest component: every pair once.
+        met = x.filter("x_full").join(y, ["shingle", "band"]).filter(major_y | ~F.col("y_full") | (F.col("x_name") < F.col("y_name")))
+        met = met.union(x.filter("not x_full").join(y.filter(F.col("y_full") & major_y), ["shingle", "band"]))
+        most = F.least(F.least("x_place", "y_place") + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")), F.col("x_cap"), F.col("y_cap"))
         total = PERCENT * (F.col("x_n") + F.col("y_n"))
         by_pivot = F.least("x_with_pivot", "y_with_pivot") + F.least(F.col("x_n") - F.col("x_with_pivot"), F.col("y_n") - F.col("y_with_pivot"))
-        pairs = x.join(y, ["shingle", "band"]).filter(
+        pairs = met.filter(
             (F.col("x_component") != F.col("y_component"))
-            & ((F.col("y_component") == F.col("major")) | (F.col("x_name") < F.col("y_name")))
             & (100 * F.least("x_n", "y_n") >= PERCENT * F.greatest("x_n", "y_n"))
             & (needs * most >= total)
             & F.coalesce(F.col("x_pivot") != F.col("y_name"), F.lit(True))
@@ -420,8 +484,9 @@ class Join:
 
 
 def _meet_group(table: pa.Table) -> pa.Table:
-    out = list(_meet(iter(table.to_batches())))
-    return pa.Table.from_batches(out, schema=_INDEX)
+    out = pa.Table.from_batches(list(_meet(iter(table.to_batches()))), schema=_INDEX)
+    blocks.release()
+    return out
 
 
 def component_ids(frame: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
