@@ -40,11 +40,10 @@ _tables: list[np.ndarray] = []
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """Each code point's lower-case letter, or a space for what is no letter; and whether it is a letter."""
     if not _tables:
-        chars = [chr(c) for c in range(0x110000)]
-        letter = np.fromiter((c.isalpha() for c in chars), bool, len(chars))
-        lower = np.full(len(chars), 32, np.int64)
-        for c in np.flatnonzero(letter):
-            small = chars[c].lower()
+        letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        lower = np.full(0x110000, 32, np.int32)
+        for c in np.flatnonzero(letter).tolist():
+            small = chr(c).lower()
             lower[c] = ord(small) if len(small) == 1 else c
         _tables.extend((lower, letter))
     return _tables[0], _tables[1]
@@ -65,7 +64,10 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     inner = starts[(starts > 0) & (starts < n)]
     before[inner], after[inner - 1] = 32, 32
     here = np.flatnonzero(letter[points])
-    grams = before[here] << 42 | c[here] << 21 | after[here]
+    grams = before[here].astype(np.int64)
+    for other in (c, after):
+        grams <<= 21
+        grams |= other[here]
     row = np.searchsorted(starts, here, "right") - 1
     return grams, row, np.bincount(row, minlength=rows) > 0
 
@@ -81,7 +83,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column(1).dictionary_encode()
         code = langs.indices.to_numpy(zero_copy_only=False)
-        for lo, hi, data, offsets in blocks.slices(*blocks.flat(batch.column(0)), 4 << 20):
+        for lo, hi, data, offsets in blocks.slices(*blocks.flat(batch.column(0)), 2 << 20):
             grams, row, _ = trigrams(data, offsets)
             own = code[lo:hi][row]
             for k in np.unique(own):
