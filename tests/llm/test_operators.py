@@ -429,6 +429,27 @@ def test_components_equal_brute_force(spark, seed, monkeypatch):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(slow_components(rows), key=str)
 
 
+def supersets(seed):
+    """Pairs of J 0.75 to 0.82 of which one set holds the other; the extra words stand in both orders before and behind the common ones."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(60):
+        base = [f"s{seed}g{g}w{k}" for k in range(rng.choice([24, 94, 154]))]
+        n = len(base) - 4
+        extra = [f"s{seed}g{g}x{k}" for k in range(round(n * (1 / rng.uniform(0.752, 0.82) - 1)))]
+        rows += [(len(rows), " ".join(base), "en", "s"), (len(rows) + 1, " ".join(base + extra if g % 2 else extra + base), "en", "s")]
+    return rows
+
+
+@pytest.mark.parametrize("long", [2, 64])
+def test_supersets_equal_brute_force(spark, long, monkeypatch):
+    monkeypatch.setattr(jaccard, "LONG", long)
+    rows = supersets(7) + copies(7)[:40]
+    rows = [(k, *r[1:]) for k, r in enumerate(rows)]
+    got = jaccard.component_ids(documents(spark, rows).repartition(5))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(slow_components(rows), key=str)
+
+
 def test_one_of_each(spark):
     rows = copies(3) + [(900, "same words in this text here", "en", "a"), (900, "same words in this text here", "en", "a"), (901, "", "en", "a"), (902, None, "en", "a")]
     frame = documents(spark, rows)

@@ -376,7 +376,9 @@ class Join:
         # Two similar sets share about a tenth of their shingles in prefixes; pivots with less than half of that are left to step 2.
         votes = votes.filter(20 * F.col("votes") >= F.col("n"))
         first = votes.groupBy("name").agg(F.max_by("other", F.struct("votes", "other")).alias("b")).select(F.col("name").alias("a"), "b")
-        # A prefix shingle without a list is in no other set, so a set shares at most the rest: `cap`.
+        # A prefix shingle without a list is in no other prefix, but it can stand behind another set's prefix. Of two sets, that whose
+        # prefix ends first has all its common prefix shingles in the other's prefix too, so it shares at most the rest, its `cap`;
+        # which one that is stays open, so a pair shares at most the greater cap of the two.
         lists = lists.distinct()
         caps = lists.groupBy("name").agg((F.max("n") - (F.max(prefix_length_of("n")) - F.count("*"))).alias("cap"))
         first, lists = self.keep(first), self.keep(lists.join(caps, "name"))
@@ -432,7 +434,7 @@ class Join:
         pivots = rows.groupBy("shingle").agg(F.array(*[F.min_by(own, F.xxhash64(F.lit(turn * ORDERS + k), "name")) for k in range(ORDERS)]).alias("pivots"))
         few = rows.withColumn("turn", F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64(F.lit(turn), "shingle")))).filter(F.col("turn") <= LISTS)
         met = few.join(pivots.select("shingle", F.explode("pivots").alias("p")), "shingle").select("name", "n", "place", "component", "cap", "p.*")
-        most = F.least(F.least("place", "p_place") + F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place")), F.col("cap"), F.col("p_cap"))
+        most = F.least(F.least("place", "p_place") + F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place")), F.greatest("cap", "p_cap"))
         met = met.filter((F.col("component") != F.col("p_component")) & (100 * F.least("n", "p_n") >= PERCENT * F.greatest("n", "p_n")) & ((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("p_n"))))
         out = self.keep(met.select(F.least("name", "p_name").alias("a"), F.greatest("name", "p_name").alias("b")).distinct())
         blocks.drop(rows)
@@ -442,10 +444,10 @@ class Join:
         """(a, b): the pairs of step 2."""
         known = answers.select(F.col("a").alias("name"), F.col("b").alias("pivot"), F.col("overlap").alias("with_pivot"))
         needs = 100 + PERCENT
-        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")
-        # Two sets of which neither can share enough with one of its own size are not similar: one of a pair must be `full`.
-        full = needs * F.col("cap") >= 2 * PERCENT * F.col("n")
-        rows = kept = self.keep(self.mixed(lists, labels).join(known, "name", "left").withColumns({"band": band, "full": full}))
+        band = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(100 / PERCENT))).cast("int")
+        # The greatest set that a set's cap allows is of band `far`; one of two similar sets must reach the other's band by its own cap.
+        far = band(F.greatest(F.floor(needs * F.col("cap") / PERCENT) - F.col("n"), F.lit(1)))
+        rows = kept = self.keep(self.mixed(lists, labels).join(known, "name", "left").withColumns({"band": band(F.col("n")), "far": far}))
         sizes = rows.groupBy("shingle", "component").count()
         major = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("count", "component")).alias("major"))
         rows = rows.join(major, "shingle")
@@ -453,16 +455,17 @@ class Join:
         # share is at most the less of their places before it and the less of what is left from it, in every list of both.
         heads = rows.groupBy("shingle", "band").agg(F.max("place").alias("before"), F.max(F.col("n") - F.col("place")).alias("left"), F.min("n").alias("least"), F.max("cap").alias("most"))
         own = F.col("n") - F.col("place")
-        left = rows.filter("component <> major").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-        left = left.join(heads, ["shingle", "band"]).filter(needs * F.least(F.least("place", "before") + F.least(own, F.col("left")), F.col("cap"), F.col("most")) >= PERCENT * (F.col("n") + F.col("least")))
-        columns = ("name", "n", "place", "component", "pivot", "with_pivot", "cap", "full")
-        x = left.select("shingle", "band", *(F.col(c).alias(f"x_{c}") for c in columns))
+        left = rows.filter("component <> major").withColumn("own", F.col("band")).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+        left = left.join(heads, ["shingle", "band"]).filter(needs * F.least(F.least("place", "before") + F.least(own, F.col("left")), F.greatest("cap", "most")) >= PERCENT * (F.col("n") + F.col("least")))
+        columns = ("name", "n", "place", "component", "pivot", "with_pivot", "cap", "far")
+        x = left.select("shingle", "band", "own", *(F.col(c).alias(f"x_{c}") for c in columns))
         y = rows.select("shingle", "band", "major", *(F.col(c).alias(f"y_{c}") for c in columns))
         major_y = F.col("y_component") == F.col("major")
-        # A full set of a small component meets all others, another one the full sets of the largest component: every pair once.
-        met = x.filter("x_full").join(y, ["shingle", "band"]).filter(major_y | ~F.col("y_full") | (F.col("x_name") < F.col("y_name")))
-        met = met.union(x.filter("not x_full").join(y.filter(F.col("y_full") & major_y), ["shingle", "band"]))
-        most = F.least(F.least("x_place", "y_place") + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")), F.col("x_cap"), F.col("y_cap"))
+        # A set of a small component meets all others of the bands that it reaches; in other bands it meets those sets of the largest
+        # component that reach its own: every pair once.
+        met = x.filter("x_far >= band").join(y, ["shingle", "band"]).filter(major_y | (F.col("y_far") < F.col("own")) | (F.col("x_name") < F.col("y_name")))
+        met = met.union(x.filter("x_far < band").join(y.filter(major_y), ["shingle", "band"]).filter("y_far >= own"))
+        most = F.least(F.least("x_place", "y_place") + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")), F.greatest("x_cap", "y_cap"))
         total = PERCENT * (F.col("x_n") + F.col("y_n"))
         by_pivot = F.least("x_with_pivot", "y_with_pivot") + F.least(F.col("x_n") - F.col("x_with_pivot"), F.col("y_n") - F.col("y_with_pivot"))
         pairs = met.filter(
