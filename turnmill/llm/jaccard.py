@@ -59,6 +59,9 @@ ORDERS = 16
 LISTS = 3
 ROUNDS = 2
 BLOOM_SLOTS = 1 << 22
+#: Pairs with both their sets that a task holds at once; a set can have a hundred kilobytes and stand in many pairs.
+PAIRS = 64
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _FACTORS = np.random.default_rng(20240202).integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -352,7 +355,12 @@ class Join:
     def compare(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """(a, b, na, nb, overlap) of the pairs (a, b), from the whole sets."""
         both = pairs.join(sets.withColumnsRenamed({"name": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"name": "b", "set": "sb"}), "b")
-        return self.keep(both.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long, na long, nb long, overlap long"))
+        size = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, str(PAIRS))
+        try:
+            return self.keep(both.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long, na long, nb long, overlap long"))
+        finally:
+            self.spark.conf.set(_BATCH, size)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """As `compare`, with the sets of just these pairs."""
