@@ -88,6 +88,19 @@ def test_media_table(spark):
     assert media.read(media.store(frame.limit(0))).count() == 0
 
 
+def test_query_stores_media_and_pcm(spark, tmp_path, monkeypatch):
+    from turnmill.llm import blocks, queries
+
+    rows = sample(n=30) + ODD
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    kept, stored = [], blocks.stored
+    monkeypatch.setattr(blocks, "stored", lambda *a: kept.append(stored(*a)) or kept[-1])
+    got = queries.op3_telephony_audio(spark, str(tmp_path))
+    files, out = kept
+    assert files.count() == got.count() == len(rows) and "pcm" not in got.columns
+    assert {bytes(r["media"][:4]) for r in files.collect()} == {bytes(r["pcm"][:4]) for r in out.collect()} == {b"RIFF"}
+
+
 # URLs.
 
 

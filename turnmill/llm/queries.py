@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, kneser, langid, licenses, lines, media, packing, preference, urls
+from . import blocks, bpe, jaccard, kneser, langid, licenses, lines, media, packing, preference, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +31,8 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = media.store(_table(spark, sf_dir, "documents"))
-    return media.read(files, keep_pcm=False).drop("pcm").withColumnRenamed("id", "doc_id")
+    files = blocks.stored(spark, media.store(_table(spark, sf_dir, "documents")))
+    return blocks.stored(spark, media.read(files)).drop("pcm").withColumnRenamed("id", "doc_id")
 
 
 def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
