@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir; below /tmp/checkpoints only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; without one, only a session on a local master has a
+    folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "/tmp/checkpoints"
     return f"{root.rstrip('/')}/turnmill-{uuid.uuid4().hex}"
 
 
