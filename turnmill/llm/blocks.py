@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 20
 
@@ -31,10 +32,8 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+#: Longer ranges are hashed one by one.
+LONG_RANGE = 64
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,23 +92,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        n = max(n, SLICE_BYTES + 64)
-        up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up), np.cumprod(down)
-    return _powers
-
-
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range: a polynomial over random byte values by prefix sums, then mixed with the length."""
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=total[1:])
-    value = (total[ends] - total[starts]) * down[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each byte range. Ranges of up to 7 bytes never collide with one another: bytes and length are one number, scrambled
+    by a bijection. Longer ones are scrambled again after each 8 bytes, those beyond LONG_RANGE by xxhash."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    at = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    shift = np.clip(8 - size, 0, 7).astype(np.uint64) << np.uint64(3)
+    first = at[starts] << shift >> shift
+    value = mix(np.where(size < 8, first | size.astype(np.uint64) << np.uint64(56), first ^ np.uint64(0xD6E8FEB86659FD93)))
+    value[size == 0] = mix(np.zeros(1, np.uint64))[0]
+    live = np.flatnonzero((size >= 8) & (size <= LONG_RANGE))
+    for done in range(8, LONG_RANGE, 8):
+        live = live[size[live] > done]
+        if not len(live):
+            break
+        left = np.clip(8 - (size[live] - done), 0, 7).astype(np.uint64) << np.uint64(3)
+        value[live] = mix((value[live] * np.uint64(0x9E3779B97F4A7C15)) ^ (at[starts[live] + done] << left >> left))
+    several = np.flatnonzero((size >= 8) & (size <= LONG_RANGE))
+    value[several] = mix(value[several] + size[several].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    for k in np.flatnonzero(size > LONG_RANGE):
+        value[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return value
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +141,12 @@ def unused(columns: list[str], name: str) -> str:
 
 
 def shared(spark) -> str:
-    """A new folder below the shared checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new folder below the shared checkpoint folder; without one, only a session on a local master has a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "/tmp/checkpoints"
     return f"{root.rstrip('/')}/turnmill-{uuid.uuid4().hex}"
 
 

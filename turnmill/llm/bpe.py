@@ -13,8 +13,9 @@ either.
 
 All words of a batch advance together in numpy. White-space-separated chunks are
 looked up by a 64-bit hash in a table of bounded size per worker, so each chunk
-is split and encoded once until the table is full and starts anew. Normalising
-and splitting chunks is the tokenizers library's, by the file's own rules.
+is split and encoded once until the table is full and starts anew; chunks of up
+to 7 bytes cannot collide, and among the table's longer ones the chance is some
+10^-7. Normalising and splitting chunks is the tokenizers library's, by the file's own rules.
 
 Cases: a null or empty text has no ids; special tokens' strings in a text give
 their ids, as in the library; unknown bytes do not occur, all 256 are symbols.
@@ -26,6 +27,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,8 @@ from . import blocks
 TABLE_CHUNKS = 1_500_000
 TABLE_WORDS = 100_000
 SLICE = 1 << 20
+#: Longer words are encoded one by one, so that few long words do not make many steps of few words.
+LONG_WORD = 256
 #: Chunks are also cut between ASCII letters and these marks, where the file's pattern always splits; bytes are lower-cased first.
 KINDS = np.zeros(256, np.uint8)
 KINDS[97:123] = 1
@@ -64,6 +68,7 @@ class Merges:
         order = np.argsort(keys, kind="stable")
         self.keys, self.order = keys[order], order.astype(np.int32)
         self.seen = np.full(1 << 21, -1, np.int64)
+        self.ranks: dict[int, int] = {}
 
     def _merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * self.n + b
@@ -97,6 +102,24 @@ class Merges:
             good[t] &= good[self.left[t]] and good[self.right[t]]
         return good
 
+    def follows(self, a: int, b: int) -> bool:
+        """Whether b can follow a, for one pair."""
+        if not self.ranks:
+            self.ranks = dict(zip(self.keys.tolist(), self.order.tolist(), strict=True))
+            self.parts = self.rank.tolist(), self.left.tolist(), self.right.tolist()
+        rank, left, right = self.parts
+        next_a = next_b = never = int(NEVER)
+        while True:
+            across = self.ranks.get(a * self.n + b, never)
+            if across < next_a and across <= next_b:
+                return False
+            if rank[a] < 0 and rank[b] < 0:
+                return True
+            if rank[a] > rank[b]:
+                next_a, a = rank[a], right[a]
+            else:
+                next_b, b = rank[b], left[b]
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether b can follow a; answers are kept in a direct-mapped table of (pair, answer)."""
         key = a.astype(np.int64) * self.n + b
@@ -182,6 +205,8 @@ class Encoder:
         self.n_ids = max([*vocab.values(), *self.special.values()]) + 1
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.clear()
+        self.edges: dict[int, int] = {}
+        self.pairs: dict[int, bool] = {}
         if by_library:
             return
         self.merges = Merges(vocab, model["merges"], end)
@@ -212,15 +237,19 @@ class Encoder:
         self.word_ids: dict[str, tuple[int, ...]] = {}
 
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each word."""
+        """The ids of each word. The last token of every prefix stands in one flat array, so memory follows the words' total length."""
         order = sorted(range(len(words)), key=lambda k: -len(words[k]))
+        out: list = [None] * len(words)
+        while order and len(words[order[0]]) > LONG_WORD:
+            k = order.pop(0)
+            out[k] = self.encode_long(words[k])
         sizes = np.array([len(words[k]) for k in order], np.int64)
         symbols = np.array([self.symbol[c] for k in order for c in words[k]], np.int64)
         first = np.cumsum(sizes) - sizes
         if self.ends:
             symbols[first + sizes - 1] += self.n_chars
-        n, longest = len(words), int(sizes[0]) if words else 0
-        last = np.zeros((longest + 1, n), np.int32)
+        n, longest = len(order), int(sizes[0]) if order else 0
+        last = np.zeros(len(symbols), np.int32)
         state = np.zeros(n, np.int32)
         auto = self.automaton
         for i in range(1, longest + 1):
@@ -231,24 +260,51 @@ class Encoder:
             while len(todo):
                 t = token[todo]
                 start = i - self.size[t]
-                before = last[start, todo]
                 ok = start == 0
                 rest = np.flatnonzero(~ok)
-                ok[rest] = self.merges.compatible(before[rest], t[rest])
-                last[i, todo[ok]] = t[ok]
+                ok[rest] = self.merges.compatible(last[first[todo[rest]] + start[rest] - 1], t[rest])
+                last[first[todo[ok]] + i - 1] = t[ok]
                 todo = todo[~ok]
                 token[todo] = auto.shorter[token[todo]]
-        out: list = [None] * n
         sizes_of = self.size
-        for j, k in enumerate(order):
-            at, ids = len(words[k]), []
-            while at:
-                t = int(last[at, j])
+        for at, size, k in zip(first.tolist(), sizes.tolist(), order, strict=True):
+            own, ids = last[at : at + size], []
+            while size:
+                t = int(own[size - 1])
                 ids.append(t)
-                at -= int(sizes_of[t])
+                size -= int(sizes_of[t])
             out[k] = tuple(reversed(ids))
         return out
 
+    def encode_long(self, word: str) -> tuple[int, ...]:
+        """The ids of one long word, place by place."""
+        auto, known = self.automaton, self.pairs
+        suffix, token, shorter, size = (x.tolist() for x in (auto.suffix, auto.token, auto.shorter, self.size))
+        if not self.edges:
+            self.edges = dict(zip(auto.keys.tolist(), auto.next.tolist(), strict=True))
+        if len(known) > TABLE_CHUNKS:
+            known.clear()
+        last, state, end = array("i", bytes(4 * len(word))), 0, len(word)
+        for i, c in enumerate(word, 1):
+            symbol = self.symbol[c] + (self.n_chars if self.ends and i == end else 0)
+            while (to := self.edges.get(state * auto.width + symbol)) is None and state:
+                state = suffix[state]
+            state = to or 0
+            t = token[state]
+            while (start := i - size[t]) > 0:
+                pair = last[start - 1] * self.merges.n + t
+                if pair not in known:
+                    known[pair] = self.merges.follows(last[start - 1], t)
+                if known[pair]:
+                    break
+                t = shorter[t]
+            last[i - 1] = t
+        ids = []
+        while end:
+            ids.append(last[end - 1])
+            end -= size[last[end - 1]]
+        return tuple(reversed(ids))
+
     def _split(self, chunk: str) -> list:
         """The words of a chunk, as strings of byte symbols; special tokens as ids."""
         if chunk.isascii():
