@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -435,13 +436,57 @@ def copies(seed):
 
 @pytest.mark.parametrize("seed", [0, 1, 2])
 def test_components_equal_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(jaccard, "FREQUENT_LEAST", 8)
     monkeypatch.setattr(jaccard, "LONG", 4)
     rows = copies(seed) + ODD
     got = jaccard.component_ids(documents(spark, rows).repartition(5))
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(slow_components(rows), key=str)
 
 
+def test_derived_overlaps_equal_whole_ones():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        p, x, y = (np.unique(rng.integers(0, 60, rng.integers(0, 50))).astype(np.uint64) for _ in range(3))
+        got = jaccard.derived_overlap(len(np.intersect1d(p, y)), y, np.setdiff1d(x, p), np.setdiff1d(p, x))
+        assert got == len(np.intersect1d(x, y))
+
+
+def test_derived_pairs_equal_brute_force(spark, monkeypatch):
+    rows = copies(3)
+    join = jaccard.Join(documents(spark, rows).repartition(3))
+    names = [(jaccard.digest(s), s) for s in jaccard.shingle_sets(pa.array([t for _, t, *_ in rows])) if len(s)]
+    sets = dict(names)
+    keys = sorted(sets)
+    first = spark.createDataFrame([(a, b) for a, b in zip(keys[1:], keys)] + [(keys[0], keys[-1])], "a long, b long")
+    answers = join.verify(first, differences=True)
+    linked = [(a, b) for a in keys for b in keys if a != b and len(np.intersect1d(sets[a], sets[b])) * 175 >= 75 * (len(sets[a]) + len(sets[b]))]
+    near = join.verify(spark.createDataFrame([(a, min(b for x, b in linked if x == a)) for a in sorted({a for a, _ in linked})], "a long, b long"), differences=True)
+    pairs = [(a, b) for k, a in enumerate(keys) for b in keys[k + 1 : k + 9]]
+    for known in (answers, near):
+        got = join.derive(spark.createDataFrame(pairs, "a long, b long"), known).collect()
+        assert {frozenset((r["a"], r["b"])) for r in got} == {frozenset(p) for p in pairs} and len(got) == len(pairs)
+        assert all((r["na"], r["nb"], r["overlap"]) == (len(sets[r["a"]]), len(sets[r["b"]]), len(np.intersect1d(sets[r["a"]], sets[r["b"]]))) for r in got)
+
+
+def test_hash_of_words_that_a_polynomial_confuses(spark, path):
+    """The Thue-Morse word and its complement have equal polynomial hashes modulo 2^64."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"one two three four {word}", "en", "s"), (2, f"one two three four {other}", "en", "s"), (3, f"{word} {other} {word[:1024]} {other[:1024]}", "en", "s")]
+    got = jaccard.component_ids(documents(spark, rows))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == [(1, 1, 1), (2, 1, 2), (3, 1, 3)]
+    library = bpe.encoder(path).library
+    ids = bpe.encode(documents(spark, rows), path).collect()
+    assert {r["id"]: r["ids"] for r in ids} == {k: library.encode(t, add_special_tokens=False).ids for k, t, *_ in rows}
+
+
+def test_slot_counts():
+    rng = np.random.default_rng(8)
+    values = np.sort(rng.integers(0, 1 << 20, 5000).astype(np.uint32))
+    assert (jaccard.unpack_sorted(jaccard.pack_sorted(values)) == values).all() and not len(jaccard.unpack_sorted(jaccard.pack_sorted(values[:0])))
+
+
 def supersets(seed):
     """Pairs of J 0.75 to 0.82 of which one set holds the other; the extra words stand in both orders before and behind the common ones."""
     rng = random.Random(seed)

@@ -1,9 +1,10 @@
 """Exact Jaccard join of documents' five-word shingle sets, by set-relation skipping.
 
-Equal sets are one class, joined once. Shingles have one order for all sets:
-those that are frequent by the counts of each task's own documents come last,
-the rest in order of their hash. Similar sets share a shingle of their prefixes
-in that order, so only prefixes go into the index lists.
+Equal sets are one class, joined once. Shingles have one order for all sets: by
+the count of their slot in a table of all shingles' counts, then by hash, so
+rare ones come first. Similar sets share a shingle of their prefixes in that
+order, so only prefixes go into the index lists; a shingle that is alone in its
+slot is in no other set and goes into none.
 
 Lists are answered in steps.
 
@@ -21,8 +22,13 @@ Lists are answered in steps.
    imply: sets a and b with overlaps x and y with the same pivot share at most
    min(x, y) + min(|a| - x, |b| - y).
 
+   Of the pairs that remain, a set with a similar pivot has its answer derived:
+   the pivot's overlap with the other set, plus what only the set shares with
+   it, less what only the pivot does. Just the pivot's answer, which all its
+   followers use, and pairs without a pivot are computed from whole sets.
+
 Every pair of similar sets is compared, or lies in one component already, so
-the components are exact. Pairs are checked on the whole sets.
+the components are exact.
 
 Words: A-Z lower-cased, runs of bytes other than 0x20 and 0x09-0x0D. Cases: fewer
 than five words make one shingle; no words or a null text make the empty set,
@@ -37,6 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,16 +56,20 @@ PERCENT = 75
 #: Shingles are gathered up to these numbers before a task indexes or counts them.
 GATHER = 1_000_000
 COUNTED = 4_000_000
-#: At most 1 / FREQUENT shingles can each have that share of all of them: this bounds what is broadcast.
-FREQUENT = 2.5e-7
-FREQUENT_LEAST = 64
+#: Counts are taken for 2^FINE slots in 2^RANGES ranges, and used for as many slots as there are shingles, 2^FINE at most: one byte
+#: each, so at most 64 MB are broadcast.
+FINE = 26
+RANGES = 6
+#: A shuffled part of the counts holds about this many shingles.
+COUNTED_PART = 1 << 30
 #: Each set in lists of at least LONG sets meets the pivots of ORDERS orders in LISTS of its lists, ROUNDS times, before pairs are
 #: looked at.
 LONG = 64
 ORDERS = 16
 LISTS = 3
 ROUNDS = 2
-BLOOM_SLOTS = 1 << 22
+#: The filter of wanted names has 16 bits a name, within these powers of two.
+FILTER_BITS = (20, 27)
 #: Pairs with both their sets that a task holds at once; a set can have a hundred kilobytes and stand in many pairs.
 PAIRS = 64
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -95,20 +106,33 @@ def digest(shingles: np.ndarray) -> int:
     return int(blocks.mix(np.array([blocks.mix(shingles + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)]) + np.uint64(len(shingles))).view(np.int64)[0])
 
 
+NAMES = "doc_id long, key long, n long, name long, range int, part long, packed binary"
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted 32-bit values as compressed differences, byte by byte."""
+    return zstandard.compress(np.diff(values, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, key, n, name, null, null) of documents, and (null, null, null, null, shingle, times) of shingles that sets here share."""
-    names_of = ["doc_id", "key", "n", "name", "shingle", "times"]
+    """Rows of NAMES: (doc_id, key, n, name) of documents; (range, part, packed) of the slots of the sets' shingles here."""
+    names_of = [c.split()[0] for c in NAMES.split(", ")]
     seen: set[int] = set()
     held: list[np.ndarray] = []
-    size = 0
+    size, part = 0, TaskContext.get().partitionId() << 24
 
-    def shared() -> pa.RecordBatch:
-        every = np.sort(np.concatenate(held))
-        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-        times = np.diff(np.append(first, len(every)))
-        often = times > 1
-        none = [pa.nulls(int(often.sum()), pa.int64())] * 4
-        return pa.RecordBatch.from_arrays([*none, pa.array(every[first[often]].view(np.int64)), pa.array(times[often].astype(np.int64))], names_of)
+    def counted() -> pa.RecordBatch:
+        slots = np.concatenate([(own >> np.uint64(64 - FINE)).astype(np.uint32) for own in held])
+        slots.sort()
+        edges = np.searchsorted(slots, np.arange(1, 1 << RANGES, dtype=np.uint32) << np.uint32(FINE - RANGES))
+        parts = [(k, pack_sorted(x & np.uint32((1 << FINE - RANGES) - 1))) for k, x in enumerate(np.split(slots, edges)) if len(x)]
+        none = [pa.nulls(len(parts), pa.int64())] * 4
+        return pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in parts], pa.int32()), pa.array([part] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.binary())], names_of)
 
     for batch in batches:
         sizes, names = [], []
@@ -121,17 +145,46 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(own)
                 size += len(own)
                 if size >= COUNTED:
-                    yield shared()
-                    held, size = [], 0
+                    yield counted()
+                    held, size, part = [], 0, part + 1
                     seen.clear()
-        none = [pa.nulls(len(batch), pa.int64())] * 2
+        none = [pa.nulls(len(batch), t) for t in (pa.int32(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), *none], names_of)
     if held:
-        yield shared()
+        yield counted()
     held = []
     blocks.release()
 
 
+def _sum_slots(packed: bool):
+    """(range, counts) of the ranges met: from packed slots, or from counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        width = 1 << FINE - RANGES
+        for batch in batches:
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = total.setdefault(k, np.zeros(width, np.uint64))
+                own += np.bincount(unpack_sorted(value.as_py()), minlength=width).astype(np.uint64) if packed else np.frombuffer(zstandard.decompress(value.as_py()), np.uint64)
+        for k, own in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(own.tobytes(), 1)], pa.binary())], ["range", "counts"])
+
+    return run
+
+
+def _weights(bits: int):
+    """(range, weights) of the counts in 2^bits slots: one byte a slot, counts to 15, then an eighth of a doubling a step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts = np.frombuffer(zstandard.decompress(value.as_py()), np.uint64).reshape(-1, 1 << FINE - bits).sum(1)
+                high = 15 + np.floor(8 * np.log2(np.maximum(counts, 16) / 16.0)).astype(np.int64) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.where(counts < 16, counts, np.minimum(high, 255)).astype(np.uint8).tobytes()], pa.binary())], ["range", "weights"])
+
+    return run
+
+
 def prefix_length(n):
     return n - (PERCENT * n + 99) // 100 + 1
 
@@ -180,22 +233,23 @@ def _list_rows(shingle, name, size, place, several) -> pa.RecordBatch:
     return _rows(1, shingle=shingle[several], name=name[several], n=size[several].astype(np.int64), place=place[several].astype(np.int64))
 
 
-def _index(frequent, buckets: int):
+def _index(weights, buckets: int):
     """Rows of INDEX from documents: kind 0, packed rows for the buckets of shingles; kind 1, members of lists that have several sets
     here; kind 2, votes (name, other: its pivot, n: lists, place: the set's size). Only a list's pivot here goes on to the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, times = frequent.value
+        weight_of, shift = weights.value
+        shift = np.uint64(shift)
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, int, int, int]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            lengths = np.array([len(s) for s, _, _ in held])
-            shingle = np.concatenate([s for s, _, _ in held]).view(np.int64)
-            name = np.repeat(np.array([x for _, x, _ in held], np.int64), lengths)
-            n = np.repeat(np.array([x for _, _, x in held], np.int64), lengths).astype(np.int32)
-            place = (np.arange(len(shingle)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+            lengths = np.array([len(s) for s, *_ in held])
+            shingle = np.concatenate([s for s, *_ in held]).view(np.int64)
+            name, n, alone = (np.repeat(np.array([h[k] for h in held], np.int64), lengths) for k in (1, 2, 3))
+            n = n.astype(np.int32)
+            place = (np.arange(len(shingle)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + alone).astype(np.int32)
             order = np.lexsort((name, shingle))
             shingle, name, n, place = shingle[order], name[order], n[order], place[order]
             first, _, several = _pivots(shingle, name, n, place)
@@ -224,13 +278,12 @@ def _index(frequent, buckets: int):
                 if name in seen:
                     continue
                 seen.add(name)
-                at = np.minimum(np.searchsorted(often, own), max(len(often) - 1, 0))
-                weight = np.where(often[at] == own, times[at], 0) if len(often) else np.zeros(len(own), np.int64)
+                weight = weight_of[(own >> shift).astype(np.int64)]
                 # own is in order of its hashes, so a stable sort by weight gives the order of all sets.
-                part = own[np.argsort(weight, kind="stable")] if weight.any() else own
-                prefix = part[: prefix_length(len(own))]
-                held.append((prefix, name, len(own)))
-                size += len(prefix)
+                order = np.argsort(weight, kind="stable")[: prefix_length(len(own))]
+                alone = int(np.searchsorted(weight[order], 2))
+                held.append((own[order[alone:]], name, len(own), alone))
+                size += len(order) - alone
                 if size >= GATHER // 2:
                     yield from flush()
                     held, size = [], 0
@@ -283,7 +336,7 @@ def _meet(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fetch(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        bits, width = wanted.value
         seen: set[int] = set()
         for batch in batches:
             names, sets = [], []
@@ -291,7 +344,8 @@ def _fetch(wanted):
                 if not len(own):
                     continue
                 name = digest(own)
-                if name in seen or not bits[name % BLOOM_SLOTS]:
+                slot = name & (1 << width) - 1
+                if name in seen or not int(bits[slot >> 6]) >> (slot & 63) & 1:
                     continue
                 seen.add(name)
                 names.append(name)
@@ -307,21 +361,48 @@ def _fetch(wanted):
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, na, nb, overlap) of pairs with both sets."""
+def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which elements of the sorted set x are in the sorted set y."""
+    if not len(y):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return y[at] == x
+
+
+OVERLAPS = "a long, b long, na long, nb long, overlap long, plus binary, minus binary"
+
+
+def _overlaps(differences: bool):
+    """Rows of OVERLAPS of pairs with both sets; for similar ones, if wanted, the elements that only a has and those that only b has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(2), batch.column(3)
+            rows = []
+            for i in range(len(batch)):
+                x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
+                n = int(np.count_nonzero(common(x, y) if len(x) <= len(y) else common(y, x)))
+                similar = differences and 100 * n >= PERCENT * (len(x) + len(y) - n)
+                rows.append((len(x), len(y), n, x[~common(x, y)].tobytes() if similar else None, y[~common(y, x)].tobytes() if similar else None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())))], [c.split()[0] for c in OVERLAPS.split(", ")])
+        blocks.release()
+
+    return run
+
+
+def derived_overlap(with_pivot: int, other: np.ndarray, plus: np.ndarray, minus: np.ndarray) -> int:
+    """The overlap of a set with another from its pivot's: plus holds what only the set has, minus what only the pivot has."""
+    return with_pivot + int(np.count_nonzero(common(plus, other))) - int(np.count_nonzero(common(minus, other)))
+
+
+def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, na, nb, overlap) from (a, b, na, nb, the pivot's overlap with b, plus, minus, b's set)."""
     for batch in batches:
-        a, b = batch.column(2), batch.column(3)
-        rows = []
-        for i in range(len(batch)):
-            x, y = np.frombuffer(a[i].as_buffer(), np.uint64), np.frombuffer(b[i].as_buffer(), np.uint64)
-            if len(x) > len(y):
-                small, large = y, x
-            else:
-                small, large = x, y
-            at = np.searchsorted(large, small)
-            at[at == len(large)] = 0
-            rows.append((len(x), len(y), int(np.count_nonzero(large[at] == small))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3))], ["a", "b", "na", "nb", "overlap"])
+        before = batch.column(4).to_pylist()
+        plus, minus, other = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(k)] for k in (5, 6, 7))
+        n = [derived_overlap(o, y, p, m) for o, y, p, m in zip(before, other, plus, minus, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64())], ["a", "b", "na", "nb", "overlap"])
     blocks.release()
 
 
@@ -335,47 +416,80 @@ class Join:
     def keep(self, frame: DataFrame) -> DataFrame:
         return blocks.stored(self.spark, frame)
 
-    def frequent(self, made: DataFrame, total: int):
-        """Sorted shingles whose counts reach the bound, with their counts; not more than 1 / FREQUENT of them by that bound."""
-        least = max(FREQUENT_LEAST, FREQUENT * total)
-        rows = made.filter("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).filter(F.col("times") >= least).toArrow()
-        shingle = rows.column(0).to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(shingle)
-        return self.spark.sparkContext.broadcast((shingle[order], rows.column(1).to_numpy()[order]))
+    def weights(self, made: DataFrame, total: int):
+        """The slots' weights and the shift that gives a shingle's slot."""
+        bits = min(max(total.bit_length() - 1, RANGES), FINE)
+        packs = made.filter("packed is not null").select("range", "packed", F.pmod("part", F.lit(1 + total // COUNTED_PART)).alias("part"))
+        counts = packs.repartition(F.col("range"), F.col("part")).select("range", "packed").mapInArrow(_sum_slots(True), "range int, counts binary")
+        if total >= COUNTED_PART:
+            counts = counts.repartition(F.col("range")).mapInArrow(_sum_slots(False), "range int, counts binary")
+        ranges = counts.repartition(F.col("range")).mapInArrow(_sum_slots(False), "range int, counts binary").mapInArrow(_weights(bits), "range int, weights binary").toArrow().to_pylist()
+        table = np.zeros(1 << bits, np.uint8)
+        width = 1 << bits - RANGES
+        for row in ranges:
+            table[row["range"] * width : (row["range"] + 1) * width] = np.frombuffer(row["weights"], np.uint8)
+        return self.spark.sparkContext.broadcast((table, 64 - bits))
 
     def fetch(self, names: DataFrame) -> DataFrame:
-        """(name, set) of the names. Texts are read again for sets that pass a Bloom filter of fixed size; what it lets through falsely
-        finds no name."""
-        slots = names.select(F.pmod("name", F.lit(BLOOM_SLOTS)).cast("int").alias("slot")).distinct().toArrow().column(0).to_numpy()
-        bits = np.zeros(BLOOM_SLOTS, bool)
-        bits[slots] = True
-        found = self.texts.mapInArrow(_fetch(self.spark.sparkContext.broadcast(bits)), "name long, set binary")
-        return self.keep(found.join(names.distinct(), "name", "left_semi").groupBy("name").agg(F.first("set").alias("set")))
-
-    def compare(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """(a, b, na, nb, overlap) of the pairs (a, b), from the whole sets."""
-        both = pairs.join(sets.withColumnsRenamed({"name": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"name": "b", "set": "sb"}), "b")
+        """(name, set) of the names. Texts are read again for sets that pass a filter of their names, whose size follows their number up
+        to 16 MB; what it lets through falsely finds no name."""
+        names = self.keep(names.distinct())
+        width = min(max((16 * names.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+        slot = F.col("name").bitwiseAND(F.lit((1 << width) - 1))
+        marks = names.select(F.shiftright(slot, 6).alias("at"), F.expr("shiftleft(1L, cast(name & 63 as int))").alias("mark")).groupBy("at").agg(F.bit_or("mark").alias("mark")).toArrow()
+        bits = np.zeros(1 << width - 6, np.uint64)
+        bits[marks.column(0).to_numpy()] = marks.column(1).to_numpy().view(np.uint64)
+        found = self.texts.mapInArrow(_fetch(self.spark.sparkContext.broadcast((bits, width))), "name long, set binary")
+        out = self.keep(found.join(names, "name", "left_semi").groupBy("name").agg(F.first("set").alias("set")))
+        blocks.drop(names)
+        return out
+
+    def in_parts(self, frame: DataFrame, run, schema: str) -> DataFrame:
+        """mapInArrow over PAIRS rows at a time, stored."""
         size = self.spark.conf.get(_BATCH)
         self.spark.conf.set(_BATCH, str(PAIRS))
         try:
-            return self.keep(both.select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long, na long, nb long, overlap long"))
+            return self.keep(frame.mapInArrow(run, schema))
         finally:
             self.spark.conf.set(_BATCH, size)
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
+    def compare(self, pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
+        """Rows of OVERLAPS of the pairs (a, b), from the whole sets."""
+        both = pairs.join(sets.withColumnsRenamed({"name": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"name": "b", "set": "sb"}), "b")
+        return self.in_parts(both.select("a", "b", "sa", "sb"), _overlaps(differences), OVERLAPS)
+
+    def verify(self, pairs: DataFrame, differences: bool = False) -> DataFrame:
         """As `compare`, with the sets of just these pairs."""
         sets = self.fetch(pairs.select(F.col("a").alias("name")).union(pairs.select("b")))
-        out = self.compare(pairs, sets)
+        out = self.compare(pairs, sets, differences)
         blocks.drop(sets)
         return out
 
+    def derive(self, pairs: DataFrame, answers: DataFrame) -> DataFrame:
+        """(a, b, na, nb, overlap) of the pairs. A set with a similar pivot takes the pivot's answer, which is computed once from whole
+        sets for all of the pivot's followers, and adds and takes off what differs; other pairs are compared as whole sets."""
+        near = answers.filter("plus is not null").select(F.col("a").alias("x"), F.col("b").alias("p"), F.col("na").alias("nx"), "plus", "minus")
+        follows = lambda c, to: near.select(F.col("x").alias(c), F.col("p").alias(to))
+        turned = pairs.join(follows("a", "pa"), "a", "left").join(follows("b", "pb"), "b", "left")
+        swap = F.col("pa").isNull() & F.col("pb").isNotNull()
+        turned = self.keep(turned.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("y"), F.coalesce("pa", "pb").alias("p")))
+        whole = turned.select(F.coalesce("p", "x").alias("a"), F.col("y").alias("b")).distinct()
+        sets = self.fetch(whole.select(F.col("a").alias("name")).union(whole.select("b")))
+        asked = self.compare(whole, sets)
+        followed = turned.filter("p is not null").join(asked.select(F.col("a").alias("p"), F.col("b").alias("y"), "nb", "overlap"), ["p", "y"])
+        followed = followed.join(near.drop("p"), "x").join(sets.withColumnsRenamed({"name": "y", "set": "sy"}), "y")
+        made = self.in_parts(followed.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), "nb", "overlap", "plus", "minus", "sy"), _derived, "a long, b long, na long, nb long, overlap long")
+        out = self.keep(made.union(turned.filter("p is null").select(F.col("x").alias("a"), F.col("y").alias("b")).join(asked.drop("plus", "minus"), ["a", "b"])))
+        blocks.drop(turned, sets, asked, made)
+        return out
+
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """(doc_id, key, n, name) of every row, and (name, root) of every set that is not empty: sets of one component have one root."""
-        made = self.keep(self.texts.mapInArrow(_names, "doc_id long, key long, n long, name long, shingle long, times long"))
+        made = self.keep(self.texts.mapInArrow(_names, NAMES))
         documents = made.filter("n is not null").select("doc_id", "key", "n", "name")
         total = documents.agg(F.sum("n")).first()[0] or 0
         buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), total // 4_000_000)
-        index = self.keep(self.texts.mapInArrow(_index(self.frequent(made, total), buckets), INDEX))
+        index = self.keep(self.texts.mapInArrow(_index(self.weights(made, total), buckets), INDEX))
         packed = index.filter("kind = 0").select("bucket", "packed")
         meet = self.keep(packed.groupBy("bucket").applyInArrow(_meet_group, INDEX))
         rows = index.filter("kind > 0").drop("packed").union(meet.drop("packed"))
@@ -391,7 +505,7 @@ class Join:
         caps = lists.groupBy("name").agg((F.max("n") - (F.max(prefix_length_of("n")) - F.count("*"))).alias("cap"))
         first, lists = self.keep(first), self.keep(lists.join(caps, "name"))
         blocks.drop(index, meet)
-        answers = self.verify(first)
+        answers = self.verify(first, differences=True)
         linked = 100 * F.col("overlap") >= PERCENT * (F.col("na") + F.col("nb") - F.col("overlap"))
         labels = self.keep(components(answers.filter(linked)))
         long = self.keep(lists.join(lists.groupBy("shingle").agg(F.count("*").alias("members")).filter(F.col("members") >= LONG).select("shingle"), "shingle", "left_semi"))
@@ -399,10 +513,13 @@ class Join:
         for k in range(ROUNDS):
             labels = self.joined(labels, self.compare(self.pivoted(long, labels, k), sets).filter(linked))
         blocks.drop(long, sets)
-        labels = self.joined(labels, self.verify(self.rest(lists, labels, answers)).filter(linked))
+        found = self.rest(lists, labels, answers)
+        more = self.derive(found, answers)
+        labels = self.joined(labels, more.filter(linked))
         group = lambda t, c, to: t.join(labels.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
-        blocks.drop(lists)
-        return documents, self.keep(group(documents.filter("name is not null").select("name").distinct(), "name", "root"))
+        out = self.keep(group(documents.filter("name is not null").select("name").distinct(), "name", "root"))
+        blocks.drop(lists, first, answers, found, more)
+        return documents, out
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
