@@ -72,6 +72,9 @@ ROUNDS = 2
 FILTER_BITS = (20, 27)
 #: Pairs with both their sets that a task holds at once; a set can have a hundred kilobytes and stand in many pairs.
 PAIRS = 64
+#: A list is met in blocks of about this many sets, with these columns of each.
+BLOCK = 512
+MEMBER = ("name", "n", "place", "rank", "component", "weight", "cap", "far")
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _FACTORS = np.random.default_rng(20240202).integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -391,6 +394,68 @@ def _overlaps(differences: bool):
     return run
 
 
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows of a set in a list with a block of the list: (name, n, the block's sets that can be similar to it, their sizes)."""
+    wide = len(MEMBER)
+    for batch in batches:
+        own, reach = (batch.column(wide + k).to_numpy().astype(np.int64) for k in range(2))
+        lists = batch.column(wide + 2)
+        bounds = lists.offsets.to_numpy()
+        length = np.diff(bounds)
+        values = lists.flatten()
+        y = {c: values.field(c).to_numpy().astype(np.int64) for c in MEMBER}
+        x = {c: np.repeat(batch.column(k).to_numpy().astype(np.int64), length) for k, c in enumerate(MEMBER)}
+        own, reach = (np.repeat(v, length) for v in (own, reach))
+        # One of two similar sets must reach the other's band.
+        once = (x["weight"] < y["weight"]) | (x["weight"] == y["weight"]) & (x["component"] < y["component"])
+        once &= (x["far"] >= reach) | (y["far"] >= own)
+        shared = np.minimum(x["rank"], y["rank"]) + np.minimum(x["n"] - x["place"], y["n"] - y["place"])
+        most = np.minimum(shared, np.maximum(x["cap"], y["cap"]))
+        fits = 100 * np.minimum(x["n"], y["n"]) >= PERCENT * np.maximum(x["n"], y["n"])
+        good = once & fits & ((100 + PERCENT) * most >= PERCENT * (x["n"] + y["n"]))
+        number = np.add.reduceat(np.append(good, False).astype(np.int64), bounds[:-1] - bounds[0]) * (length > 0) if len(length) else length
+        some = np.flatnonzero(number)
+        if len(some):
+            edges = np.concatenate([[0], np.cumsum(number[some])]).astype(np.int32)
+            names = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(edges * 8), pa.py_buffer(np.ascontiguousarray(y["name"][good]))])
+            sizes = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(edges * 4), pa.py_buffer(y["n"][good].astype(np.int32))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)), names, sizes], ["name", "n", "partners", "sizes"])
+    blocks.release()
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, total size) of the pairs that share enough lists, from rows of `_partners` in order of their names. All lists that two
+    sets share are there, so their number is that of common shingles in both prefixes; the other common ones come after the prefix
+    that ends first. What is held is one batch and the last set's partners with their counts."""
+    held = [np.zeros(0, np.int64) for _ in range(5)]  # name, n, partner, its size, lists
+
+    def pairs(part: list[np.ndarray]) -> pa.RecordBatch:
+        name, n, other, size, lists = part
+        beyond = (PERCENT * np.maximum(n, size) + 99) // 100 - 1
+        good = (100 + PERCENT) * (lists + beyond) >= PERCENT * (n + size)
+        a, b = np.minimum(name, other)[good], np.maximum(name, other)[good]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array((n + size)[good])], ["a", "b", "total"])
+
+    for batch in batches:
+        count = np.diff(np.frombuffer(batch.column(2).buffers()[1], np.int32)[batch.column(2).offset :][: len(batch) + 1]) // 8
+        other = np.frombuffer(b"".join(x.as_py() for x in batch.column(2)), np.int64)
+        size = np.frombuffer(b"".join(x.as_py() for x in batch.column(3)), np.int32).astype(np.int64)
+        part = [np.repeat(batch.column(0).to_numpy(), count), np.repeat(batch.column(1).to_numpy(), count), other, size, np.ones(len(other), np.int64)]
+        part = [np.concatenate(x) for x in zip(held, part, strict=True)]
+        order = np.lexsort((part[2], part[0]))
+        part = [x[order] for x in part]
+        if not len(part[0]):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], (part[0][1:] != part[0][:-1]) | (part[2][1:] != part[2][:-1])]))
+        part = [x[first] for x in part[:4]] + [np.add.reduceat(part[4], first)]
+        last = part[0] == batch.column(0)[len(batch) - 1].as_py()
+        held = [x[last] for x in part]
+        yield pairs([x[~last] for x in part])
+    if len(held[0]):
+        yield pairs(held)
+    blocks.release()
+
+
 def derived_overlap(with_pivot: int, other: np.ndarray, plus: np.ndarray, minus: np.ndarray) -> int:
     """The overlap of a set with another from its pivot's: plus holds what only the set has, minus what only the pivot has."""
     return with_pivot + int(np.count_nonzero(common(plus, other))) - int(np.count_nonzero(common(minus, other)))
@@ -501,9 +566,11 @@ class Join:
         # A prefix shingle without a list is in no other prefix, but it can stand behind another set's prefix. Of two sets, that whose
         # prefix ends first has all its common prefix shingles in the other's prefix too, so it shares at most the rest, its `cap`;
         # which one that is stays open, so a pair shares at most the greater cap of the two.
-        lists = lists.distinct()
-        caps = lists.groupBy("name").agg((F.max("n") - (F.max(prefix_length_of("n")) - F.count("*"))).alias("cap"))
-        first, lists = self.keep(first), self.keep(lists.join(caps, "name"))
+        # `rank` is the number of a set's shingles with lists before this one. Those without, if they come before a shingle of both sets'
+        # prefixes, are not in the other set at all.
+        by = Window.partitionBy("name")
+        lists = lists.distinct().withColumns({"rank": F.row_number().over(by.orderBy("place")).cast("long") - 1, "cap": F.col("n") - (prefix_length_of("n") - F.count("*").over(by))})
+        first, lists = self.keep(first), self.keep(lists)
         blocks.drop(index, meet)
         answers = self.verify(first, differences=True)
         linked = 100 * F.col("overlap") >= PERCENT * (F.col("na") + F.col("nb") - F.col("overlap"))
@@ -545,8 +612,9 @@ class Join:
         return self.keep(moved.union(merged).distinct())
 
     def mixed(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
-        """The rows of lists whose sets are not all in one component, with `component`."""
-        rows = lists.join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+        """The rows of lists whose sets are not all in one component, with `component` and `weight`, the number of its sets."""
+        weighed = labels.join(labels.groupBy("component").agg(F.count("*").alias("weight")), "component").withColumnRenamed("node", "name")
+        rows = lists.join(weighed, "name", "left").withColumns({"component": F.coalesce("component", "name"), "weight": F.coalesce("weight", F.lit(1).cast("long"))})
         several = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
         return rows.join(several, "shingle")
 
@@ -555,11 +623,11 @@ class Join:
         similar to many of the others, but not to all, is joined by this at a cost in proportion to its size; what it leaves is left
         to `rest`."""
         rows = self.keep(self.mixed(long, labels))
-        own = F.struct(*(F.col(c).alias(f"p_{c}") for c in ("name", "n", "place", "component", "cap")))
+        own = F.struct(*(F.col(c).alias(f"p_{c}") for c in ("name", "n", "place", "rank", "component", "cap")))
         pivots = rows.groupBy("shingle").agg(F.array(*[F.min_by(own, F.xxhash64(F.lit(turn * ORDERS + k), "name")) for k in range(ORDERS)]).alias("pivots"))
         few = rows.withColumn("turn", F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64(F.lit(turn), "shingle")))).filter(F.col("turn") <= LISTS)
-        met = few.join(pivots.select("shingle", F.explode("pivots").alias("p")), "shingle").select("name", "n", "place", "component", "cap", "p.*")
-        most = F.least(F.least("place", "p_place") + F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place")), F.greatest("cap", "p_cap"))
+        met = few.join(pivots.select("shingle", F.explode("pivots").alias("p")), "shingle").select("name", "n", "place", "rank", "component", "cap", "p.*")
+        most = F.least(F.least("rank", "p_rank") + F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place")), F.greatest("cap", "p_cap"))
         met = met.filter((F.col("component") != F.col("p_component")) & (100 * F.least("n", "p_n") >= PERCENT * F.greatest("n", "p_n")) & ((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("p_n"))))
         out = self.keep(met.select(F.least("name", "p_name").alias("a"), F.greatest("name", "p_name").alias("b")).distinct())
         blocks.drop(rows)
@@ -567,46 +635,30 @@ class Join:
 
     def rest(self, lists: DataFrame, labels: DataFrame, answers: DataFrame) -> DataFrame:
         """(a, b): the pairs of step 2."""
-        known = answers.select(F.col("a").alias("name"), F.col("b").alias("pivot"), F.col("overlap").alias("with_pivot"))
         needs = 100 + PERCENT
         band = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(100 / PERCENT))).cast("int")
         # The greatest set that a set's cap allows is of band `far`; one of two similar sets must reach the other's band by its own cap.
         far = band(F.greatest(F.floor(needs * F.col("cap") / PERCENT) - F.col("n"), F.lit(1)))
-        rows = kept = self.keep(self.mixed(lists, labels).join(known, "name", "left").withColumns({"band": band(F.col("n")), "far": far}))
-        sizes = rows.groupBy("shingle", "component").count()
-        major = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("count", "component")).alias("major"))
+        rows = kept = self.keep(self.mixed(lists, labels).withColumns({"band": band(F.col("n")), "far": far}))
+        # Of two sets in a list, the one of the lesser component looks for the other; a list's greatest component looks for none.
+        major = rows.groupBy("shingle").agg(F.max_by("component", F.struct("weight", "component")).alias("major"), F.count("*").alias("members"))
         rows = rows.join(major, "shingle")
-        # Each list's blocks by size, with the most places that a block's sets have before and from this shingle on. What two sets
-        # share is at most the less of their places before it and the less of what is left from it, in every list of both.
-        heads = rows.groupBy("shingle", "band").agg(F.max("place").alias("before"), F.max(F.col("n") - F.col("place")).alias("left"), F.min("n").alias("least"), F.max("cap").alias("most"))
+        # Each list's blocks by size, cut to some BLOCK sets, with the most that a block's sets have before this shingle in lists, and from
+        # it on. What two sets share is at most the less of their ranks and the less of what is left from it, in every list of both.
+        member = F.struct(*(F.col(c) for c in MEMBER))
+        cut = F.pmod(F.xxhash64("name"), F.ceil(F.col("members") / BLOCK)).alias("cut")
+        heads = rows.groupBy("shingle", "band", cut).agg(F.max("rank").alias("before"), F.max(F.col("n") - F.col("place")).alias("left"), F.min("n").alias("least"), F.max("cap").alias("most"), F.collect_list(member).alias("members"))
         own = F.col("n") - F.col("place")
-        left = rows.filter("component <> major").withColumn("own", F.col("band")).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-        left = left.join(heads, ["shingle", "band"]).filter(needs * F.least(F.least("place", "before") + F.least(own, F.col("left")), F.greatest("cap", "most")) >= PERCENT * (F.col("n") + F.col("least")))
-        columns = ("name", "n", "place", "component", "pivot", "with_pivot", "cap", "far")
-        x = left.select("shingle", "band", "own", *(F.col(c).alias(f"x_{c}") for c in columns))
-        y = rows.select("shingle", "band", "major", *(F.col(c).alias(f"y_{c}") for c in columns))
-        major_y = F.col("y_component") == F.col("major")
-        # A set of a small component meets all others of the bands that it reaches; in other bands it meets those sets of the largest
-        # component that reach its own: every pair once.
-        met = x.filter("x_far >= band").join(y, ["shingle", "band"]).filter(major_y | (F.col("y_far") < F.col("own")) | (F.col("x_name") < F.col("y_name")))
-        met = met.union(x.filter("x_far < band").join(y.filter(major_y), ["shingle", "band"]).filter("y_far >= own"))
-        most = F.least(F.least("x_place", "y_place") + F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place")), F.greatest("x_cap", "y_cap"))
-        total = PERCENT * (F.col("x_n") + F.col("y_n"))
-        by_pivot = F.least("x_with_pivot", "y_with_pivot") + F.least(F.col("x_n") - F.col("x_with_pivot"), F.col("y_n") - F.col("y_with_pivot"))
-        pairs = met.filter(
-            (F.col("x_component") != F.col("y_component"))
-            & (100 * F.least("x_n", "y_n") >= PERCENT * F.greatest("x_n", "y_n"))
-            & (needs * most >= total)
-            & F.coalesce(F.col("x_pivot") != F.col("y_name"), F.lit(True))
-            & F.coalesce(F.col("y_pivot") != F.col("x_name"), F.lit(True))
-            & F.coalesce((F.col("x_pivot") != F.col("y_pivot")) | (needs * by_pivot >= total), F.lit(True))
+        x = rows.filter("component <> major").withColumn("own", F.col("band")).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).drop("members")
+        met = x.join(heads, ["shingle", "band"]).filter(needs * F.least(F.least("rank", "before") + F.least(own, F.col("left")), F.greatest("cap", "most")) >= PERCENT * (F.col("n") + F.col("least")))
+        partners = met.select(*MEMBER, "own", "band", "members").mapInArrow(_partners, "name long, n long, partners binary, sizes binary")
+        pairs = partners.repartition(F.col("name")).sortWithinPartitions("name").mapInArrow(_shared, "a long, b long, total long")
+        known = lambda c: answers.select(F.col("a").alias(c), F.col("b").alias(f"p{c}"), F.col("overlap").alias(f"o{c}"), F.col("na").alias(f"n{c}"))
+        by_pivot = F.least("oa", "ob") + F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
+        left = pairs.join(known("a"), "a", "left").join(known("b"), "b", "left").filter(
+            F.coalesce(F.col("pa") != F.col("b"), F.lit(True)) & F.coalesce(F.col("pb") != F.col("a"), F.lit(True)) & F.coalesce((F.col("pa") != F.col("pb")) | (needs * by_pivot >= PERCENT * F.col("total")), F.lit(True))
         )
-        # All lists that two sets share are there, so their number is that of common shingles in both prefixes; the other common ones
-        # come after the prefix that ends first.
-        beyond = lambda n: F.floor((PERCENT * F.col(n) + 99) / 100) - 1
-        pairs = pairs.select(F.least("x_name", "y_name").alias("a"), F.greatest("x_name", "y_name").alias("b"), total.alias("total"), F.greatest(beyond("x_n"), beyond("y_n")).alias("beyond"))
-        pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("total").alias("total"), F.first("beyond").alias("beyond"))
-        out = self.keep(pairs.filter(needs * (F.col("shared") + F.col("beyond")) >= F.col("total")).select("a", "b"))
+        out = self.keep(left.select("a", "b"))
         blocks.drop(kept)
         return out
 
