@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("turnmill.llm")
-from turnmill.llm import bpe, components, jaccard, kneser, langid, licenses, lines, media, packing, preference, urls
+from turnmill.llm import bpe, components, jaccard, kneser, langid, licenses, lines, media, packing, preference, slots, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = {"en": "the of and is that it with for was on are this be at by".split(), "de": "der die und das ist von mit sich den auf für nicht als ein".split()}
@@ -484,7 +484,7 @@ def test_hash_of_words_that_a_polynomial_confuses(spark, path):
 def test_slot_counts():
     rng = np.random.default_rng(8)
     values = np.sort(rng.integers(0, 1 << 20, 5000).astype(np.uint32))
-    assert (jaccard.unpack_sorted(jaccard.pack_sorted(values)) == values).all() and not len(jaccard.unpack_sorted(jaccard.pack_sorted(values[:0])))
+    assert (slots.unpack_sorted(slots.pack_sorted(values)) == values).all() and not len(slots.unpack_sorted(slots.pack_sorted(values[:0])))
 
 
 def supersets(seed):
@@ -534,22 +534,49 @@ def test_packed_rows():
 # Packing.
 
 
-def test_bm25_equals_the_formula():
-    rng = random.Random(4)
-    rows = [[rng.choice([rng.randint(0, 5), rng.randint(0, 200)]) for _ in range(rng.randint(0, 40))] for _ in range(90)]
-    terms = np.array([t for r in rows for t in r], np.int64)
-    bounds = np.cumsum([0] + [len(r) for r in rows])
-    got = packing.bm25(terms, bounds)
+def slow_bm25(rows, weight, mean):
+    """Scores of all rows for each row as seed, for terms that at least two rows have."""
     df = collections.Counter(t for r in rows for t in set(r))
-    mean = sum(map(len, rows)) / len(rows)
-    for q in range(0, 90, 7):
-        for d in range(0, 90, 5):
-            want = 0.0
-            for t in set(rows[q]) & set(rows[d]):
-                if df[t] > 1:
-                    tf = rows[d].count(t)
-                    want += math.log1p((90 - df[t] + 0.5) / (df[t] + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(rows[d]) / mean))
-            assert abs(got[q, d] - want) < 1e-3
+    tfs = [collections.Counter(r) for r in rows]
+    score = lambda q, d: sum(weight[t] * tfs[d][t] * (packing.K1 + 1) / (tfs[d][t] + packing.K1 * (1 - packing.B + packing.B * len(rows[d]) / mean)) for t in set(rows[q]) & set(rows[d]) if df[t] > 1)
+    return [[score(q, d) for d in range(len(rows))] for q in range(len(rows))]
+
+
+def test_index_equals_the_formula():
+    rng = random.Random(4)
+    rows = [[rng.choice([rng.randint(0, 5), rng.randint(0, 200)]) for _ in range(rng.randint(0, 40))] for _ in range(90)] + [[]]
+    weight = {t: 1 + t % 7 for t in range(201)}
+    want = slow_bm25(rows, weight, 20.0)
+    terms = np.array([t for r in rows for t in r], np.uint64)
+    index = packing.Index(terms, np.repeat(np.arange(91), [len(r) for r in rows]), 91, lambda t: 1 + (t % np.uint64(7)).astype(np.float32), 20.0)
+    assert len(index.dense) and len(index.row)
+    for q in range(91):
+        assert np.allclose(index.scores(q), want[q], atol=1e-2)
+
+
+def test_windows_equal_brute_force(spark, path, monkeypatch):
+    """Whole windows, from statistics over all documents and exact scores of all documents of the shard, in any batches."""
+    monkeypatch.setattr(packing, "WINDOW", 256)
+    rows = [(i, t, lang, s) for i, t, lang, s in sample(9, 70)] + [(100 + i, t, lang, s) for i, t, lang, s in sample(9, 8)]
+    shingled = []
+    for i, t, *_ in rows:
+        data, offsets = packing.blocks.flat(pa.array([t]))
+        shingled.append((int(packing._least_hash(pa.array([t]))[0].as_py()), i, bpe.chunk_hashes(data, offsets)[0].tolist()))
+    shingled.sort()
+    words = [w for *_, w in shingled]
+    df = collections.Counter(w >> 42 for ws in words for w in set(ws))
+    weight = {w: math.log1p((len(words) - df[w >> 42] + 0.5) / (df[w >> 42] + 0.5)) for ws in words for w in ws}
+    scores = slow_bm25(words, weight, sum(map(len, words)) / len(words))
+    library = bpe.encoder(path, by_library=True).library
+    text = {i: t for i, t, *_ in rows}
+    sizes = [len(library.encode(text[i], add_special_tokens=False).ids) + 1 for _, i, _ in shingled]
+    want = [shingled[p[0]][1] for p in packing.Packer(0, 256).pack(np.array(sizes), lambda q: np.array(scores[q]))]
+    for batch in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = packing.pack(documents(spark, rows).repartition(3), path).collect()
+        order = [p["doc_id"] for p in sorted(got, key=lambda p: (p["sequence_id"], p["offset"]))]
+        assert list(dict.fromkeys(order)) == list(dict.fromkeys(want))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def check_pieces(pieces, want):
@@ -586,7 +613,11 @@ def test_packing(spark, path):
 
 
 def test_neighbours_come_first():
+    """Of equal neighbours the first in shard order comes first."""
     scores = np.zeros((4, 4), np.float32)
     scores[0, 2] = 1
-    pieces = packing.Packer(0, 16).pack(np.array([4, 4, 4, 4]), scores)
-    assert [p[0] for p in pieces] == [0, 2, 1, 3] and packing.tail_cuts(13) == [8, 4, 1]
+    pieces = packing.Packer(0, 16).pack(np.array([4, 4, 4, 4]), lambda seed: scores[seed])
+    assert [p[0] for p in pieces] == [0, 2, 1, 3]
+    scores[0] = 1
+    assert [p[0] for p in packing.Packer(0, 64).pack(np.array([4, 4, 4, 4]), lambda seed: scores[seed])] == [0, 1, 2, 3]
+    assert packing.tail_cuts(13) == [8, 4, 1]

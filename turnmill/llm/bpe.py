@@ -338,10 +338,8 @@ class Encoder:
         return self.encode_terms(data, offsets)[:2]
 
     def encode_terms(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All rows' ids and the rows' offsets in them; each chunk's number among the distinct ones, and the rows' offsets in those."""
-        if data.tobytes().find(b"<|") < 0:  # special tokens are matched before lower-casing
-            data = blocks.LOWER[data]
-        starts, ends, bounds = blocks.words(data, offsets, kinds=KINDS)
+        """All rows' ids and the rows' offsets in them; each chunk's hash, and the rows' offsets in those."""
+        data, starts, ends, bounds = _chunks(data, offsets)
         wanted, where, back = np.unique(blocks.hashes(data, starts, ends), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, wanted)
         new = np.flatnonzero((at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != wanted)) if len(self.keys) else np.arange(len(wanted))
@@ -360,7 +358,20 @@ class Encoder:
         place = self.places[np.searchsorted(self.keys, wanted)][back] if len(wanted) else np.zeros(0, np.int64)
         lengths = self.bounds[place + 1] - self.bounds[place]
         total = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[blocks.spread(self.bounds[place], lengths)], total[bounds], back, bounds
+        return self.flat[blocks.spread(self.bounds[place], lengths)], total[bounds], wanted[back], bounds
+
+
+def _chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The bytes, lower-cased unless special tokens may be in them (those are matched before), with the chunks' starts, ends and bounds."""
+    if data.tobytes().find(b"<|") < 0:
+        data = blocks.LOWER[data]
+    return data, *blocks.words(data, offsets, kinds=KINDS)
+
+
+def chunk_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each chunk's hash, and the rows' offsets in those."""
+    data, starts, ends, bounds = _chunks(data, offsets)
+    return blocks.hashes(data, starts, ends), bounds
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

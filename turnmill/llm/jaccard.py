@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import blocks
+from . import blocks, slots
 from .components import components
 
 WORDS = 5
@@ -60,8 +60,6 @@ COUNTED = 4_000_000
 #: each, so at most 64 MB are broadcast.
 FINE = 26
 RANGES = 6
-#: A shuffled part of the counts holds about this many shingles.
-COUNTED_PART = 1 << 30
 #: Each set in lists of at least LONG sets meets the pivots of ORDERS orders in LISTS of its lists, ROUNDS times, before pairs are
 #: looked at.
 LONG = 64
@@ -112,16 +110,6 @@ def digest(shingles: np.ndarray) -> int:
 NAMES = "doc_id long, key long, n long, name long, range int, part long, packed binary"
 
 
-def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted 32-bit values as compressed differences, byte by byte."""
-    return zstandard.compress(np.diff(values, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-
-
-def unpack_sorted(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
-
-
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of NAMES: (doc_id, key, n, name) of documents; (range, part, packed) of the slots of the sets' shingles here."""
     names_of = [c.split()[0] for c in NAMES.split(", ")]
@@ -130,10 +118,7 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size, part = 0, TaskContext.get().partitionId() << 24
 
     def counted() -> pa.RecordBatch:
-        slots = np.concatenate([(own >> np.uint64(64 - FINE)).astype(np.uint32) for own in held])
-        slots.sort()
-        edges = np.searchsorted(slots, np.arange(1, 1 << RANGES, dtype=np.uint32) << np.uint32(FINE - RANGES))
-        parts = [(k, pack_sorted(x & np.uint32((1 << FINE - RANGES) - 1))) for k, x in enumerate(np.split(slots, edges)) if len(x)]
+        parts = slots.ranges(np.concatenate([(own >> np.uint64(64 - FINE)).astype(np.uint32) for own in held]), FINE, RANGES)
         none = [pa.nulls(len(parts), pa.int64())] * 4
         return pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in parts], pa.int32()), pa.array([part] * len(parts), pa.int64()), pa.array([x for _, x in parts], pa.binary())], names_of)
 
@@ -159,22 +144,6 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     blocks.release()
 
 
-def _sum_slots(packed: bool):
-    """(range, counts) of the ranges met: from packed slots, or from counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        width = 1 << FINE - RANGES
-        for batch in batches:
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = total.setdefault(k, np.zeros(width, np.uint64))
-                own += np.bincount(unpack_sorted(value.as_py()), minlength=width).astype(np.uint64) if packed else np.frombuffer(zstandard.decompress(value.as_py()), np.uint64)
-        for k, own in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(own.tobytes(), 1)], pa.binary())], ["range", "counts"])
-
-    return run
-
-
 def _weights(bits: int):
     """(range, weights) of the counts in 2^bits slots: one byte a slot, counts to 15, then an eighth of a doubling a step."""
 
@@ -484,11 +453,8 @@ class Join:
     def weights(self, made: DataFrame, total: int):
         """The slots' weights and the shift that gives a shingle's slot."""
         bits = min(max(total.bit_length() - 1, RANGES), FINE)
-        packs = made.filter("packed is not null").select("range", "packed", F.pmod("part", F.lit(1 + total // COUNTED_PART)).alias("part"))
-        counts = packs.repartition(F.col("range"), F.col("part")).select("range", "packed").mapInArrow(_sum_slots(True), "range int, counts binary")
-        if total >= COUNTED_PART:
-            counts = counts.repartition(F.col("range")).mapInArrow(_sum_slots(False), "range int, counts binary")
-        ranges = counts.repartition(F.col("range")).mapInArrow(_sum_slots(False), "range int, counts binary").mapInArrow(_weights(bits), "range int, weights binary").toArrow().to_pylist()
+        counts = slots.counts(made.filter("packed is not null"), total, FINE - RANGES)
+        ranges = counts.mapInArrow(_weights(bits), "range int, weights binary").toArrow().to_pylist()
         table = np.zeros(1 << bits, np.uint8)
         width = 1 << bits - RANGES
         for row in ranges:

@@ -2,13 +2,18 @@
 
 Documents are dealt into shards by range of a lexical key (the least hash of
 their words, then the id), so that similar documents and copies stand together
-and no key, however common, fills a shard. A shard is read in blocks of bounded
-size; a block's inverted index gives BM25 scores of all its documents for each
-seed, by a matrix product for terms with long posting lists and by postings for
-the others. A seed's best unused neighbours fill its window greedily. A document
-that goes beyond the window is cut, and its rest opens the next window as the
-seed. Windows run on from block to block; a shard's last tokens are cut into
-sequences whose lengths are powers of two, so nothing is padded.
+and no key, however common, fills a shard. A shard has about SHARD_BYTES of text,
+whatever the input's size. Its inverted index holds all its documents: each
+term's postings with their BM25 weights, as a row of weights for terms that many
+of its documents have. The index gives a seed's exact scores for all documents of
+the shard; the best unused ones fill its window greedily, ties in shard order. A
+document that goes beyond the window is cut, and its rest opens the next window
+as the seed. A shard's last tokens are cut into sequences whose lengths are
+powers of two, so nothing is padded.
+
+Document frequencies and the mean length are those of all documents. Frequencies
+are counted in 2^SLOT_BITS slots of the terms' hashes, so what is broadcast is
+bounded; rare terms that share a slot weigh somewhat less.
 
 Cases: a null or empty text is its closing id alone; equal rows each take their
 own place; documents without a neighbour seed the rest of the window themselves.
@@ -21,54 +26,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks, bpe
+from . import blocks, bpe, slots
 
 WINDOW = 4096
 CLOSING = 2
-BLOCK_DOCS = 1024
 K1, B = 1.2, 0.75
-#: Terms in at least this many documents of a block go through the matrix product.
-LONG_LIST = 32
-PAIRS = 1 << 20
-
-
-def bm25(terms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(seed, document) scores among the rows of a block: for each distinct term of the seed, its weight in the document."""
-    rows = len(bounds) - 1
-    scores = np.zeros((rows, rows), np.float32)
-    sizes = np.diff(bounds)
-    if not len(terms) or rows < 2:
-        return scores
-    n_terms = int(terms.max()) + 1
-    key, tf = np.unique(terms * rows + np.repeat(np.arange(rows), sizes), return_counts=True)
-    term, row = key // rows, key % rows
-    df = np.bincount(term, minlength=n_terms)
-    shared = df[term] >= 2
-    term, row, tf = term[shared], row[shared], tf[shared]
-    idf = np.log1p((rows - df + 0.5) / (df + 0.5))
-    weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[row] / max(sizes.mean(), 1e-9)))).astype(np.float32)
-    long = df[term] >= LONG_LIST
-    if long.any():
-        own, number = np.unique(term[long], return_inverse=True)
-        dense = np.zeros((rows, len(own)), np.float32)
-        dense[row[long], number] = weight[long]
-        scores += (dense > 0).astype(np.float32) @ dense.T
-    term, row, weight = term[~long], row[~long], weight[~long]
-    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(term)))
-    each, start = np.repeat(size, size), np.repeat(first, size)
-    made = np.cumsum(each)
-    lo = 0
-    while lo < len(term):  # postings meet in parts of at most about PAIRS
-        hi = max(lo + 1, int(np.searchsorted(made, made[lo] - each[lo] + PAIRS, "right")))
-        at = blocks.spread(start[lo:hi], each[lo:hi])
-        scores += np.bincount(np.repeat(row[lo:hi], each[lo:hi]) * rows + row[at], weight[at], rows * rows).reshape(rows, rows).astype(np.float32)
-        lo = hi
-    return scores
+SHARD_BYTES = 16 << 20
+SLOT_BITS, RANGE_BITS = 22, 4
+#: Terms that stand in at least this share of a shard's documents have a row of weights instead of postings.
+COMMON = 1 / 16
+FEW_ROWS = 64
+
+
+def idf(df: np.ndarray, documents: int) -> np.ndarray:
+    return np.log1p((documents - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+
+class Index:
+    """The inverted index of a shard: `terms` are hashes, of the documents in `row`, in any order."""
+
+    def __init__(self, terms: np.ndarray, row: np.ndarray, rows: int, weight_of, mean: float):
+        self.rows = rows
+        order = np.lexsort((row, terms))
+        terms, row = terms[order], row[order]
+        first = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (row[1:] != row[:-1])])) if len(terms) else np.zeros(0, np.int64)
+        sizes = np.bincount(row, minlength=rows)
+        tf = np.diff(np.append(first, len(terms)))
+        terms, row = terms[first], row[first]
+        new = np.concatenate([[True], terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, bool)
+        term = np.cumsum(new) - 1
+        df = np.diff(np.append(np.flatnonzero(new), len(terms)))
+        weight = (weight_of(terms) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[row] / max(mean, 1e-9)))).astype(np.float32)
+        # A term of one document scores no other.
+        shared = df[term] >= 2
+        term, row, weight = term[shared], row[shared].astype(np.int32), weight[shared]
+        common = df >= max(2, COMMON * rows)
+        own = common[term]
+        number = np.cumsum(common) - 1
+        self.dense = np.zeros((int(common.sum()), rows), np.float32)
+        self.dense[number[term[own]], row[own]] = weight[own]
+        by_row = lambda r, x: (x[np.argsort(r, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(r, minlength=rows))]))
+        self.common = by_row(row[own], number[term[own]])
+        term, self.row, self.weight = term[~own], row[~own], weight[~own]
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(df)))])
+        self.rare = by_row(self.row, term)
+
+    def scores(self, seed: int) -> np.ndarray:
+        """For each distinct term of the seed, its weight in every document, summed."""
+        common, bounds = self.common
+        rows = common[bounds[seed] : bounds[seed + 1]]
+        out = np.zeros(self.rows, np.float32)
+        for lo in range(0, len(rows), FEW_ROWS):
+            out += self.dense[rows[lo : lo + FEW_ROWS]].sum(0)
+        rare, bounds = self.rare
+        term = rare[bounds[seed] : bounds[seed + 1]]
+        if len(term):
+            at = blocks.spread(self.bounds[term], self.bounds[term + 1] - self.bounds[term])
+            out += np.bincount(self.row[at], self.weight[at], self.rows).astype(np.float32)
+        return out
 
 
 class Packer:
@@ -85,8 +105,9 @@ class Packer:
             if self.used == self.window:
                 self.sequence, self.used = self.sequence + 1, 0
 
-    def pack(self, sizes: np.ndarray, scores: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """The block's pieces in order; the seed of an open window is the document that was cut or came last without a neighbour."""
+    def pack(self, sizes: np.ndarray, scores) -> list[tuple[int, int, int, int, int]]:
+        """The shard's pieces in order, by scores(seed) of all its documents; the seed of an open window is the document that was cut or
+        came last without a neighbour."""
         out: list = []
         free = np.ones(len(sizes), bool)
         for first in range(len(sizes)):
@@ -94,16 +115,18 @@ class Packer:
                 continue
             seed, free[first] = first, False
             self._place(out, seed, 0, int(sizes[seed]))
+            own = None
             while self.used:
-                own = np.where(free, scores[seed], 0)
-                best = int(own.argmax()) if len(own) else 0
+                if own is None:
+                    own = np.where(free, scores(seed), 0)
+                best = int(own.argmax())
                 if own[best] <= 0:
                     break
-                free[best] = False
+                free[best], own[best] = False, 0
                 before = self.sequence
                 self._place(out, best, 0, int(sizes[best]))
                 if self.sequence != before:
-                    seed = best
+                    seed, own = best, None
         return out
 
 
@@ -112,10 +135,10 @@ def tail_cuts(size: int) -> list[int]:
     return [1 << k for k in range(size.bit_length() - 1, -1, -1) if size >> k & 1]
 
 
-def _pack(path: str, with_ids: bool):
+def _pack(path: str, with_ids: bool, weights, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe.encoder(path, by_library=True)
-        packer = Packer(TaskContext.get().partitionId() << 32)
+        table, mean = weights.value
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
         def emit(pieces: list) -> pa.RecordBatch:
@@ -129,42 +152,90 @@ def _pack(path: str, with_ids: bool):
                 columns.append(pa.nulls(len(pieces), pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(columns, names)
 
-        open_: list = []  # the pieces of the window that is not full
+        doc_ids: list = []
+        sizes, tokens, terms, rows = [], [], [], []
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
             for lo, hi, data, offsets in blocks.slices(*blocks.flat(batch.column(1)), 2 << 20):
-                for a in range(lo, hi, BLOCK_DOCS):
-                    b = min(hi, a + BLOCK_DOCS)
-                    part = offsets[a - lo : b - lo + 1]
-                    ids, bounds, terms, words = own.encode_terms(data[part[0] : part[-1]], part - part[0])
-                    ids = np.insert(ids, bounds[1:], CLOSING)
-                    bounds = bounds + np.arange(len(bounds))
-                    sizes = np.diff(bounds)
-                    done: list = open_
-                    for doc, start, size, sequence, offset in packer.pack(sizes, bm25(terms, words)):
-                        at = bounds[doc] + start
-                        done.append((doc_ids[a + doc], start, size, sequence, offset, int(sizes[doc]), ids[at : at + size]))
-                    open_ = [p[:6] + (p[6].copy(),) for p in done if p[3] == packer.sequence]
-                    full = [p for p in done if p[3] != packer.sequence]
-                    if full:
-                        yield emit(full)
+                ids, bounds, chunks, ends = own.encode_terms(data, offsets)
+                tokens.append(np.insert(ids, bounds[1:], CLOSING).astype(np.uint16 if own.n_ids <= 1 << 16 else np.uint32))
+                sizes.append(np.diff(bounds) + 1)
+                terms.append(chunks)
+                rows.append(np.repeat(np.arange(hi - lo, dtype=np.int32) + len(doc_ids), np.diff(ends)))
+                doc_ids += batch.column(0)[lo:hi].to_pylist()
+        if not doc_ids:
+            return
+        size = np.concatenate(sizes)
+        ids = np.concatenate(tokens)
+        starts = np.concatenate([[0], np.cumsum(size)])
+        index = Index(np.concatenate(terms), np.concatenate(rows), len(doc_ids), lambda t: table[(t >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], mean)
+        del sizes, tokens, terms, rows
+        packer = Packer(TaskContext.get().partitionId() << 32, window)
+        done: list = []
+        for doc, start, length, sequence, offset in packer.pack(size, index.scores):
+            at = starts[doc] + start
+            done.append((doc_ids[doc], start, length, sequence, offset, int(size[doc]), ids[at : at + length]))
         # The last window: its tokens in sequences of powers of two.
+        full = [p for p in done if p[3] != packer.sequence]
         sequence, at, last = packer.sequence, 0, []
         cuts = tail_cuts(packer.used)
-        for doc, start, size, _, _, total, ids in open_:
-            done = 0
-            while done < size:
-                part = min(size - done, cuts[0] - at)
-                last.append((doc, start + done, part, sequence, at, total, ids[done : done + part]))
-                done, at = done + part, at + part
+        for doc, start, length, _, _, total, own_ids in done[len(full) :]:
+            cut = 0
+            while cut < length:
+                part = min(length - cut, cuts[0] - at)
+                last.append((doc, start + cut, part, sequence, at, total, own_ids[cut : cut + part]))
+                cut, at = cut + part, at + part
                 if at == cuts[0]:
                     cuts, sequence, at = cuts[1:], sequence + 1, 0
-        if last:
-            yield emit(last)
+        full += last
+        for lo in range(0, len(full), 1024):
+            yield emit(full[lo : lo + 1024])
+        blocks.release()
 
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(range, part, packed) of the slots of each document's distinct terms, and (null, documents, null, terms, bytes) sums."""
+    part, documents, terms, size = TaskContext.get().partitionId() << 24, 0, 0, 0
+    names = ["range", "part", "packed", "terms", "bytes"]
+    held: list[np.ndarray] = []
+    many = 0
+
+    def packed() -> pa.RecordBatch:
+        out = slots.ranges(np.concatenate(held), SLOT_BITS, RANGE_BITS)
+        none = [pa.nulls(len(out), pa.int64())] * 2
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([part] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary()), *none], names)
+
+    for batch in batches:
+        for lo, hi, data, offsets in blocks.slices(*blocks.flat(batch.column(0)), 2 << 20):
+            chunk, ends = bpe.chunk_hashes(data, offsets)
+            row = np.repeat(np.arange(hi - lo), np.diff(ends))
+            documents, terms, size = documents + hi - lo, terms + len(chunk), size + len(data)
+            order = np.lexsort((chunk, row))
+            chunk, row = chunk[order], row[order]
+            new = np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (row[1:] != row[:-1])]) if len(chunk) else np.zeros(0, bool)
+            held.append((chunk[new] >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
+            many += len(held[-1])
+            if many >= 4_000_000:
+                yield packed()
+                held, many, part = [], 0, part + 1
+    if many:
+        yield packed()
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([documents], pa.int64()), pa.nulls(1, pa.binary()), pa.array([terms], pa.int64()), pa.array([size], pa.int64())], names)
+
+
+def statistics(texts: DataFrame) -> tuple[np.ndarray, float, int]:
+    """Each slot's weight, the mean number of terms and the bytes, over all texts."""
+    made = blocks.stored(texts.sparkSession, texts.mapInArrow(_counted, "range int, part long, packed binary, terms long, bytes long"))
+    documents, terms, size = made.filter("range is null").agg(F.sum("part"), F.sum("terms"), F.sum("bytes")).first()
+    table = np.zeros(1 << SLOT_BITS, np.float32)
+    width = SLOT_BITS - RANGE_BITS
+    for row in slots.counts(made.filter("range is not null"), terms or 0, width).toArrow().to_pylist():
+        table[row["range"] << width : row["range"] + 1 << width] = idf(np.frombuffer(zstandard.decompress(row["counts"]), np.uint64).astype(np.float64), documents)
+    blocks.drop(made)
+    return table, (terms or 0) / max(documents or 0, 1), size or 0
+
+
 def _least_hash(column: pa.Array) -> pa.Array:
     """Each text's least word hash; -1 without words."""
     out = [np.zeros(0, np.int64)]
@@ -182,6 +253,9 @@ def pack(frame: DataFrame, path: str, id_column: str = "doc_id", column: str = "
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids): every token of every document in exactly one piece
     (ids null without with_ids). Sequences have WINDOW tokens, or a smaller power of two at a shard's end."""
     least = F.arrow_udf(_least_hash, "long")
-    rows = frame.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("string").alias("text")).withColumn("key", least("text"))
-    shards = rows.repartitionByRange(F.col("key"), F.col("id")).sortWithinPartitions("key", "id", F.xxhash64("text"))
-    return shards.select("id", "text").mapInArrow(_pack(path, with_ids), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
+    texts = frame.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("string").alias("text"))
+    table, mean, size = statistics(texts.select("text"))
+    weights = frame.sparkSession.sparkContext.broadcast((table, mean))
+    rows = texts.withColumn("key", least("text"))
+    shards = rows.repartitionByRange(1 + size // SHARD_BYTES, F.col("key"), F.col("id")).sortWithinPartitions("key", "id", F.xxhash64("text"))
+    return shards.select("id", "text").mapInArrow(_pack(path, with_ids, weights, WINDOW), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
