@@ -547,8 +547,9 @@ def test_index_equals_the_formula():
     rows = [[rng.choice([rng.randint(0, 5), rng.randint(0, 200)]) for _ in range(rng.randint(0, 40))] for _ in range(90)] + [[]]
     weight = {t: 1 + t % 7 for t in range(201)}
     want = slow_bm25(rows, weight, 20.0)
-    terms = np.array([t for r in rows for t in r], np.uint64)
-    index = packing.Index(terms, np.repeat(np.arange(91), [len(r) for r in rows]), 91, lambda t: 1 + (t % np.uint64(7)).astype(np.float32), 20.0)
+    high = np.uint64(32)  # a place's low bits give way to its row
+    terms = np.array([t for r in rows for t in r], np.uint64) << high
+    index = packing.Index(terms, np.repeat(np.arange(91), [len(r) for r in rows]), 91, lambda t: 1 + (t >> high).astype(np.int64) % 7, 20.0)
     assert len(index.dense) and len(index.row)
     for q in range(91):
         assert np.allclose(index.scores(q), want[q], atol=1e-2)

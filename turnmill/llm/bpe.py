@@ -205,6 +205,8 @@ class Encoder:
         self.n_ids = max([*vocab.values(), *self.special.values()]) + 1
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.clear()
+        self.at_end = np.zeros(self.n_ids, bool)
+        self.at_end[[i for t, i in vocab.items() if end and t.endswith(end)]] = True
         self.edges: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
         if by_library:
@@ -321,17 +323,47 @@ class Encoder:
                 out += [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
         return out
 
-    def chunk_ids(self, chunks: list[str]) -> list[list[int]]:
-        """The ids of each chunk: by this module, or by the library itself."""
+    def chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks and each one's number of ids: by this module, or by the library itself."""
         if self.by_library:
-            return [e.ids for lo in range(0, len(chunks), 8192) for e in self.library.encode_batch_fast(chunks[lo : lo + 8192], add_special_tokens=False)]
+            return self._library_ids(chunks)
         split = [self._split(c) for c in chunks]
         new = list({w for ws in split for w in ws if isinstance(w, str) and w not in self.word_ids})
         for lo in range(0, len(new), 1 << 16):
             part = new[lo : lo + (1 << 16)]
             self.word_ids.update(zip(part, self.encode_words(part), strict=True))
         known = self.word_ids
-        return [[i for w in ws for i in ((w,) if isinstance(w, int) else known[w])] for ws in split]
+        ids = [[i for w in ws for i in ((w,) if isinstance(w, int) else known[w])] for ws in split]
+        return np.fromiter((i for x in ids for i in x), self.flat.dtype), np.array([len(x) for x in ids], np.int64)
+
+    def _library_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks of letters are words, whose ids end at their only end-of-word token: many go into one text. If a text has another
+        number of such tokens, and for other chunks, each chunk is a text."""
+        flat, lengths = [], np.zeros(len(chunks), np.int64)
+        letters = np.fromiter((c.isalpha() for c in chunks), bool, len(chunks)) if self.at_end.any() else np.zeros(len(chunks), bool)
+        words, others = np.flatnonzero(letters), np.flatnonzero(~letters).tolist()
+        groups = [words[lo : lo + 256] for lo in range(0, len(words), 256)]
+        order = []
+        for lo in range(0, len(groups), 64):
+            part = groups[lo : lo + 64]
+            for group, found in zip(part, self.library.encode_batch_fast([" ".join([chunks[k] for k in g]) for g in part], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, self.flat.dtype)
+                ends = np.flatnonzero(self.at_end[ids])
+                if len(ends) != len(group):
+                    others += group.tolist()
+                    continue
+                flat.append(ids)
+                order.append(group)
+                lengths[group] = np.diff(ends, prepend=-1)
+        for lo in range(0, len(others), 8192):
+            part = others[lo : lo + 8192]
+            for k, found in zip(part, self.library.encode_batch_fast([chunks[k] for k in part], add_special_tokens=False), strict=True):
+                flat.append(np.array(found.ids, self.flat.dtype))
+                lengths[k] = len(flat[-1])
+        order = np.concatenate([*order, np.array(others, np.int64)]) if chunks else np.zeros(0, np.int64)
+        start = np.zeros(len(chunks), np.int64)
+        start[order] = np.cumsum(lengths[order]) - lengths[order]
+        return (np.concatenate(flat) if flat else self.flat[:0])[blocks.spread(start, lengths)], lengths
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids, and the rows' offsets in them."""
@@ -347,10 +379,10 @@ class Encoder:
             if len(self.keys) + len(new) > TABLE_CHUNKS and len(self.keys):
                 self.clear()
                 new = np.arange(len(wanted))
-            ids = self.chunk_ids([data[starts[k] : ends[k]].tobytes().decode("utf-8") for k in where[new]])
+            ids, lengths = self.chunk_ids([data[starts[k] : ends[k]].tobytes().decode("utf-8") for k in where[new]])
             places = len(self.bounds) - 1 + np.arange(len(new))
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), self.flat.dtype)])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
+            self.flat = np.concatenate([self.flat, ids])
             at = np.searchsorted(self.keys, wanted[new])
             self.keys, self.places = np.insert(self.keys, at, wanted[new]), np.insert(self.places, at, places)
             if len(self.word_ids) > TABLE_WORDS:

@@ -36,7 +36,7 @@ from . import blocks, bpe, slots
 WINDOW = 4096
 CLOSING = 2
 K1, B = 1.2, 0.75
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 SLOT_BITS, RANGE_BITS = 22, 4
 #: Terms that stand in at least this share of a shard's documents have a row of weights instead of postings.
 COMMON = 1 / 16
@@ -52,19 +52,22 @@ class Index:
 
     def __init__(self, terms: np.ndarray, row: np.ndarray, rows: int, weight_of, mean: float):
         self.rows = rows
-        order = np.lexsort((row, terms))
-        terms, row = terms[order], row[order]
-        first = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (row[1:] != row[:-1])])) if len(terms) else np.zeros(0, np.int64)
+        # One key a place: the hash, whose low bits give way to the row.
+        bits = np.uint64(max(rows, 1).bit_length())
+        key = terms >> bits << bits | row.astype(np.uint64)
+        key.sort()
         sizes = np.bincount(row, minlength=rows)
-        tf = np.diff(np.append(first, len(terms)))
-        terms, row = terms[first], row[first]
-        new = np.concatenate([[True], terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, bool)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        tf = np.diff(np.append(first, len(key)))
+        key = key[first]
+        row, key = (key & np.uint64((1 << int(bits)) - 1)).astype(np.int32), key >> bits
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
         term = np.cumsum(new) - 1
-        df = np.diff(np.append(np.flatnonzero(new), len(terms)))
-        weight = (weight_of(terms) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[row] / max(mean, 1e-9)))).astype(np.float32)
+        df = np.diff(np.append(np.flatnonzero(new), len(key)))
+        weight = (weight_of(key << bits) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[row] / max(mean, 1e-9)))).astype(np.float32)
         # A term of one document scores no other.
         shared = df[term] >= 2
-        term, row, weight = term[shared], row[shared].astype(np.int32), weight[shared]
+        term, row, weight = term[shared], row[shared], weight[shared]
         common = df >= max(2, COMMON * rows)
         own = common[term]
         number = np.cumsum(common) - 1
@@ -209,12 +212,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in blocks.slices(*blocks.flat(batch.column(0)), 2 << 20):
             chunk, ends = bpe.chunk_hashes(data, offsets)
-            row = np.repeat(np.arange(hi - lo), np.diff(ends))
+            key = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(ends)) << np.uint64(SLOT_BITS) | chunk >> np.uint64(64 - SLOT_BITS)
             documents, terms, size = documents + hi - lo, terms + len(chunk), size + len(data)
-            order = np.lexsort((chunk, row))
-            chunk, row = chunk[order], row[order]
-            new = np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (row[1:] != row[:-1])]) if len(chunk) else np.zeros(0, bool)
-            held.append((chunk[new] >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
+            key.sort()
+            new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+            held.append((key[new] & np.uint64((1 << SLOT_BITS) - 1)).astype(np.uint32))
             many += len(held[-1])
             if many >= 4_000_000:
                 yield packed()
