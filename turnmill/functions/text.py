@@ -124,7 +124,9 @@ def squeezed_lines(text: Column) -> Column:
     """Lines equal to the line before taken out, blank ones aside; texts of fewer than two lines are left alone."""
     cut = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "[\r\u000b\u000c\u001c\u001d\u001e\u0085  ]", "\n")
     lines = F.split(F.regexp_replace(cut, r"\n\z", ""), "\n", -1)
-    kept = F.filter(lines, lambda x, i: (i == 0) | blank(x) | (x != F.get(lines, i - 1)))
+    # Each line beside the one before it: looking that up by its place in a lambda would split the text again for every line.
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(lines, F.lit(1), F.size(lines) - 1))
+    kept = F.filter(F.zip_with(lines, before, lambda x, y: F.when(y.isNull() | (x != y) | blank(x), x)), lambda x: x.isNotNull())
     return F.when(F.size(lines) < 2, text).otherwise(F.array_join(kept, "\n"))
 
 
