@@ -89,17 +89,41 @@ def test_media_table(spark):
     assert media.read(media.store(frame.limit(0))).count() == 0
 
 
+def slow_feature(payload):
+    """The feature, sample by sample."""
+    codec = media.CODECS[zlib.crc32(payload) % 3]
+    if codec == "ima":
+        pcm = [v for lo in range(0, len(payload), 64) for v in ima_slow(bytes(4) + payload[lo : lo + 64])]
+    else:
+        pcm = [int({"mulaw": media.MULAW, "alaw": media.ALAW}[codec][b]) for b in payload]
+    at = lambda k: pcm[min(max(k, 0), len(pcm) - 1)]
+    out = [v for k in range(len(pcm)) for v in (pcm[k], max(-32768, min(32767, (9 * (at(k) + at(k + 1)) - at(k - 1) - at(k + 2) + 8) >> 4)))]
+    rms = math.sqrt(sum(v * v for v in out) / len(out))
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(out, out[1:], strict=False))
+    return codec, len(out), rms, max(map(abs, out)), crossings, zlib.crc32(np.array(out, "<i2").tobytes())
+
+
 def test_query_stores_media_and_pcm(spark, tmp_path, monkeypatch):
     from turnmill.llm import blocks, queries
 
-    rows = sample(n=30) + ODD
-    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [r for r in sample(n=30) + ODD if r[0] != 9006]
+    documents(spark, rows).withColumn("media", F.lit("clash")).withColumn("pcm", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
     kept, stored = [], blocks.stored
     monkeypatch.setattr(blocks, "stored", lambda *a: kept.append(stored(*a)) or kept[-1])
-    got = queries.op3_telephony_audio(spark, str(tmp_path))
-    files, out = kept
-    assert files.count() == got.count() == len(rows) and "pcm" not in got.columns
-    assert {bytes(r["media"][:4]) for r in files.collect()} == {bytes(r["pcm"][:4]) for r in out.collect()} == {b"RIFF"}
+    monkeypatch.setattr(media, "GROUP_BYTES", 700)
+    got = queries.op3_telephony_audio(spark, str(tmp_path)).collect()
+    assert kept[0].count() == len(got) == len(rows)
+    by_payload = {r["payload_sha256"]: r for r in got}
+    for _, text, *_ in rows:
+        raw = (text or "").encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        row = by_payload[hashlib.sha256(payload).hexdigest()]
+        codec, samples, rms, peak, crossings, crc = slow_feature(payload)
+        found = dict(x.split("=") for x in row["feature"].split(";")[1:])
+        assert row["feature"].split(";")[0] == codec and abs(int(found.pop("rms")) - rms) <= 1
+        assert found == {"samples": str(samples), "peak": str(peak), "crossings": str(crossings), "pcm": f"{crc:08x}"}
+        assert row["pcm"][:4] == b"RIFF" and zlib.crc32(media.from_wav(bytes(row["pcm"]))[3]) == crc
+    assert {bytes(r["media"][:4]) for r in kept[0].collect()} == {b"RIFF"}
 
 
 # URLs.
@@ -121,7 +145,7 @@ ENTRIES = ["org/", "example.org/es/", "example.org/en/1", "com/fr/", "com/de/"]
 
 
 def test_urls_both_ways(spark):
-    frame = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS * 2)], "page_id long, url string, entry_ string")
+    frame = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS * 2)], "page_id long, url string, entry string")
     parts = urls.with_parts(frame)
     want = [judged(ENTRIES, u) for u in URLS * 2]
     for limit in (urls.MAX_LIST_BYTES, 1):

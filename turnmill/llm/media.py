@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNIT = 64
+#: Bytes of stored files that are decoded together; their PCM takes four to eight times as much.
+GROUP_BYTES = 2 << 20
 RATE = 8000
 CODECS = ("mulaw", "alaw", "ima")
 FORMATS = {"mulaw": 7, "alaw": 6, "ima": 0x11, "pcm": 1}
@@ -139,17 +141,29 @@ def decode_all(files: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Bounds of successive groups of rows of about GROUP_BYTES; a longer row is a group of its own."""
+    lo, total = 0, 0
+    for k, size in enumerate(sizes):
+        if k > lo and total + size > GROUP_BYTES:
+            yield lo, k
+            lo, total = k, 0
+        total += size
+    if len(sizes) > lo:
+        yield lo, len(sizes)
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
-        for lo in range(0, len(texts), 512):
+        for lo, hi in _groups(pc.binary_length(texts).to_pylist()):
             sizes, files = [], []
-            for value in texts[lo : lo + 512]:
+            for value in texts[lo:hi]:
                 raw = value.as_py()
                 sizes.append(len(raw))
                 payload = raw + b"\0" * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
                 files.append(to_wav(payload, CODECS[zlib.crc32(payload) % len(CODECS)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo : lo + 512], pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], ["id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], ["id", "n_bytes", "media"])
 
 
 def store(frame: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
@@ -160,8 +174,8 @@ def store(frame: DataFrame, id_column: str = "doc_id", column: str = "text") ->
 def _decode(keep_pcm: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in _groups(pc.binary_length(batch.column(2)).to_pylist()):
+                part = batch.slice(lo, hi - lo)
                 files = [x.as_py() for x in part.column(2)]
                 rows: list[tuple] = []
                 for media, pcm in zip(files, decode_all(files), strict=True):

@@ -2,11 +2,13 @@
 
 A list's entries (host and path prefix, such as `example.org/en/1`) are hashed
 with 64-bit xxhash; the digests stand sorted in a file beside the entries' full
-strings. Workers memory-map that file, probe with numpy's binary search, and
-confirm every digest hit against the full string, so a collision cannot decide.
+strings. Each worker maps one such file in memory, once, probes with numpy's
+binary search, and confirms every digest hit against the full string, so a
+collision cannot decide.
 
 Lists up to MAX_LIST_BYTES are broadcast as that file. Larger lists are joined
-by digest (`judge_joined`), with the same results.
+by digest (`judge_joined`), with the same results. A column that has the name of
+an added one is replaced.
 
 Cases: a null url, or one without `://`, has empty host and path and fits no
 entry; of several fitting entries the longest wins, then the first in order.
@@ -16,7 +18,6 @@ from __future__ import annotations
 
 import os
 import struct
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,12 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import blocks
+
 MAX_LIST_BYTES = 64 << 20
 
 HOST = r"^(?s).*?://([^/?#]*)"
 PATH = r"^(?s).*?://[^/?#]*([^?#]*)"
 
 
+_mapped: dict[str, DigestArray] = {}
+
+
 class DigestArray:
     """Digests in ascending order with the strings they stand for; built as bytes, opened from a mapped file."""
 
@@ -48,13 +54,15 @@ class DigestArray:
         return struct.pack("<Q", len(rows)) + np.array([d for d, _ in rows], np.uint64).tobytes() + ends.tobytes() + b"".join(e for _, e in rows)
 
     @classmethod
-    def mapped(cls, content: bytes) -> DigestArray:
-        """Maps a private copy of the file; the copy has no name and goes with the process."""
-        with tempfile.NamedTemporaryFile(delete=False) as f:
-            f.write(content)
-        array = cls(np.memmap(f.name, np.uint8, "r"))
-        os.unlink(f.name)
-        return array
+    def mapped(cls, name: str, content: bytes) -> DigestArray:
+        """This process's mapping of the file of that name, which is in no folder."""
+        if name not in _mapped:
+            file = os.fdopen(os.memfd_create("digests"), "w+b")
+            file.write(content)
+            file.flush()
+            _mapped.clear()
+            _mapped[name] = cls(np.memmap(file, np.uint8, "r"))
+        return _mapped[name]
 
     def entry(self, k: int) -> bytes:
         return self.text[int(self.offsets[k]) : int(self.offsets[k + 1])].tobytes()
@@ -91,7 +99,7 @@ def _sizes(entries: Iterable[str]) -> list[int]:
 
 def _judge(content, sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = DigestArray.mapped(content.value)
+        array = DigestArray.mapped(*content.value)
         for batch in batches:
             owner: list[int] = []
             tried: list[str] = []
@@ -114,19 +122,23 @@ def judge(frame: DataFrame, entries: list[str], max_list_bytes: int = MAX_LIST_B
     content = DigestArray.build(entries)
     if len(content) > max_list_bytes:
         return judge_joined(frame, frame.sparkSession.createDataFrame([(e,) for e in entries], "entry string"))
+    frame = frame.drop("entry")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema) + ", entry string"
-    return frame.mapInArrow(_judge(frame.sparkSession.sparkContext.broadcast(content), _sizes(entries)), schema)
+    named = xxhash.xxh3_128_hexdigest(content), content
+    return frame.mapInArrow(_judge(frame.sparkSession.sparkContext.broadcast(named), _sizes(entries)), schema)
 
 
 def judge_joined(frame: DataFrame, entries: DataFrame) -> DataFrame:
     """As `judge`, for a list of any size: candidates are joined to the list by digest and confirmed by the full string."""
     sizes = [r[0] for r in entries.select(F.expr("length(entry) - instr(entry, '/') + 1").alias("n")).distinct().collect()]
-    rows = frame.withColumn("row", F.monotonically_increasing_id())
+    frame = frame.drop("entry")
+    number = blocks.unused(frame.columns, "row")
+    rows = frame.withColumn(number, F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     paths = F.transform(F.filter(F.array(*[F.lit(n) for n in sizes or [0]]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    tried = rows.select("row", F.explode(F.filter(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.when(h != "", F.concat(h, p))))), lambda x: x.isNotNull())).alias("tried")).withColumn("digest", F.xxhash64("tried"))
+    tried = rows.select(F.col(number).alias("row"), F.explode(F.filter(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.when(h != "", F.concat(h, p))))), lambda x: x.isNotNull())).alias("tried")).withColumn("digest", F.xxhash64("tried"))
     hits = tried.join(entries.select("entry", F.xxhash64("entry").alias("digest")), "digest").filter("tried = entry")
     first = Window.partitionBy("row").orderBy(F.length("entry").desc(), "entry")
-    best = hits.withColumn("rank", F.row_number().over(first)).filter("rank = 1").select("row", "entry")
-    return rows.join(best, "row", "left").drop("row")
+    best = hits.withColumn("rank", F.row_number().over(first)).filter("rank = 1").select(F.col("row").alias(number), "entry")
+    return rows.join(best, number, "left").drop(number)
