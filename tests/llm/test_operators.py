@@ -324,6 +324,61 @@ def test_languages(spark):
     assert "score" in langid.accepted(frame.withColumn("score", F.lit(1)), filters).columns
 
 
+def slow_trigrams(text):
+    low = []
+    for c in text:
+        small = c.lower()
+        low.append(" " if not c.isalpha() else small if len(small) == 1 else c)
+    padded = [" ", *low, " "]
+    return ["".join(padded[k : k + 3]) for k, c in enumerate(text) if c.isalpha()]
+
+
+def slow_mix(x):
+    most = (1 << 64) - 1
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & most
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & most
+    return x ^ x >> 31
+
+
+@pytest.mark.parametrize("most", [1 << 8, 1 << 23])
+def test_languages_equal_brute_force(spark, monkeypatch, most):
+    """Languages and scores, with filters that are nearly full and with sparse ones."""
+    monkeypatch.setattr(langid, "LEAST_SLOTS", 1 << 6)
+    monkeypatch.setattr(langid, "MOST_SLOTS", most)
+    rows = sample(3, 60) + [r for r in ODD if r[0] != 9006] + [(500, "le éœ ÀB İx", "fr", "s"), (501, "le éœ", "fr", "s")]
+    frame = documents(spark, rows)
+    counts, texts = collections.defaultdict(collections.Counter), collections.Counter()
+    for _, text, lang, _ in rows:
+        if text is not None and lang is not None:
+            counts[lang].update(slow_trigrams(text))
+            texts.update((lang, g) for g in set(slow_trigrams(text)))
+    learned = sorted(x for x in counts if counts[x])
+    share = {(x, g): n / sum(counts[x].values()) for x in learned for g, n in counts[x].items()}
+    kept = [(x, g) for (x, g), s in share.items() if texts[x, g] >= 2 and s >= langid.RATIO * max(share.get((y, g), 0) for y in learned)]
+    m = min(max(1 << (16 * len(kept)).bit_length(), 1 << 6), most)
+
+    def places(g):
+        value = slow_mix(ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2]))
+        return (value & 0xFFFFFFFF) % m, (value >> 32) % m
+
+    bits = {x: {p for y, g in kept if y == x for p in places(g)} for x in learned}
+    filters = langid.fit(frame)
+    assert filters.langs == learned and filters.m == m
+    got = langid.predict(frame, filters).collect()
+    for r in got:
+        grams = slow_trigrams(r["text"] or "")
+        if not grams:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        scores = {}
+        for x in learned:
+            false = (len(bits[x]) / m) ** 2
+            scores[x] = (sum(all(p in bits[x] for p in places(g)) for g in grams) / len(grams) - false) / (1 - false + 1e-12)
+        scores = {x: min(max(s, 0), 1) for x, s in scores.items()}
+        top = max(scores.values())
+        assert scores[r["lang_pred"]] > top - 1e-9 and abs(r["score"] - top) < 1e-9
+
+
 def test_bits_beyond_one_word(spark):
     rows = [(i, f"{chr(0x4E00 + i % 70)}{chr(0x5E00 + i % 70)}{chr(0x6E00 + i % 70)}" * 3, f"l{i % 70:02d}", "s") for i in range(140)]
     frame = documents(spark, rows)

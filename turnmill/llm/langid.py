@@ -4,12 +4,14 @@ One table of slots serves all languages: a slot holds one bit per language, so
 the conjunction of a trigram's slots returns all languages whose filter holds
 it. A text's trigrams give a popcount per language; each is corrected for that
 language's false positives, which follow from the filled share of its bits, and
-the highest decides. The table has a fixed number of slots, so its size in
-bytes is bounded by that and the number of languages, whatever the corpus.
+the highest decides. The table has SPARSE slots for each distinct trigram and
+language, within bounds, so filters stay as sparse as the learned text grows,
+and its size in bytes is bounded by the most slots and the number of languages.
 
-A trigram stands in a language's filter if its share of that language's
-trigrams is at least RATIO of its share in the language where it is commonest:
-passages in other languages then do not fill a filter.
+A trigram stands in a language's filter if at least LEAST_ROWS of its texts hold
+it, and if its share of that language's trigrams is at least RATIO of its share
+in the language where it is commonest: a text does not vouch for itself, and
+passages in other languages do not fill a filter.
 
 Cases: `und` with score 0 for a null text or one without a letter, and for every
 text where nothing was learned; rows without a language or text teach nothing;
@@ -27,7 +29,10 @@ from pyspark.sql import functions as F
 
 from . import blocks
 
-SLOTS = 1 << 21
+#: Slots for each trigram of a language; least and most slots.
+SPARSE = 16
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 23
+LEAST_ROWS = 2
 HASHES = 2
 RATIO = 0.2
 WORD_BITS = 63
@@ -72,14 +77,14 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return grams, row, np.bincount(row, minlength=rows) > 0
 
 
-def slots(grams: np.ndarray, m: int = SLOTS) -> list[np.ndarray]:
+def slots(grams: np.ndarray, m: int) -> list[np.ndarray]:
     """The HASHES places of each trigram."""
     value = blocks.mix(grams.astype(np.uint64))
     return [((value >> np.uint64(32 * k)) & np.uint64(0xFFFFFFFF)).astype(np.int64) % m for k in range(HASHES)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n) for each batch; batch columns: text, lang."""
+    """(lang, gram, n, its texts) for each batch; batch columns: text, lang."""
     for batch in batches:
         langs = batch.column(1).dictionary_encode()
         code = langs.indices.to_numpy(zero_copy_only=False)
@@ -87,16 +92,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, row, _ = trigrams(data, offsets)
             own = code[lo:hi][row]
             for k in np.unique(own):
-                found, n = np.unique(grams[own == k], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([langs.dictionary[int(k)].as_py()] * len(found), pa.string()), pa.array(found), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+                order = np.lexsort((row[own == k], grams[own == k]))
+                gram, place = grams[own == k][order], row[own == k][order]
+                new = np.concatenate([[True], gram[1:] != gram[:-1]])
+                first = np.flatnonzero(new)
+                texts = np.add.reduceat((new | np.concatenate([[True], place[1:] != place[:-1]])).astype(np.int64), first)
+                n = np.diff(np.append(first, len(gram)))
+                yield pa.RecordBatch.from_arrays([pa.array([langs.dictionary[int(k)].as_py()] * len(first), pa.string()), pa.array(gram[first]), pa.array(n.astype(np.int64)), pa.array(texts)], ["lang", "gram", "n", "texts"])
 
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slot, word, mask) of each (gram, k), k: the language's number."""
-    for batch in batches:
-        grams, k = (batch.column(i).to_numpy() for i in (0, 1))
-        for at in slots(grams):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array((k // WORD_BITS).astype(np.int32)), pa.array(np.int64(1) << (k % WORD_BITS).astype(np.int64))], ["slot", "word", "mask"])
+def _place(m: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(slot, word, mask) of each (gram, k), k: the language's number."""
+        for batch in batches:
+            grams, k = (batch.column(i).to_numpy() for i in (0, 1))
+            for at in slots(grams, m):
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array((k // WORD_BITS).astype(np.int32)), pa.array(np.int64(1) << (k % WORD_BITS).astype(np.int64))], ["slot", "word", "mask"])
+
+    return run
 
 
 class Filters:
@@ -104,7 +117,8 @@ class Filters:
 
     def __init__(self, langs: list[str], words: list[np.ndarray]):
         self.langs, self.words = langs, words
-        self.false = np.array([(np.count_nonzero(words[k // WORD_BITS] >> (k % WORD_BITS) & 1) / SLOTS) ** HASHES for k in range(len(langs))])
+        self.m = len(words[0]) if words else LEAST_SLOTS
+        self.false = np.array([(np.count_nonzero(words[k // WORD_BITS] >> (k % WORD_BITS) & 1) / self.m) ** HASHES for k in range(len(langs))])
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score of each row; the score is the corrected share of the row's trigrams that the language has."""
@@ -112,7 +126,7 @@ class Filters:
         rows = len(offsets) - 1
         if not self.langs:
             return ["und"] * rows, np.zeros(rows)
-        at, total = slots(grams), np.bincount(row, minlength=rows).astype(float)
+        at, total = slots(grams, self.m), np.bincount(row, minlength=rows).astype(float)
         hits = np.zeros((len(self.langs), rows))
         for w, table in enumerate(self.words):
             mask = table[at[0]]
@@ -121,9 +135,10 @@ class Filters:
             for k in range(w * WORD_BITS, min(len(self.langs), (w + 1) * WORD_BITS)):
                 hits[k] = np.bincount(row, mask >> (k % WORD_BITS) & 1, rows)
         share = (hits / np.maximum(total, 1) - self.false[:, None]) / (1 - self.false[:, None] + 1e-12)
+        share = np.clip(share, 0, 1)
         best = share.argmax(0)
         names = np.array(self.langs, object)[best]
-        return [n if h else "und" for n, h in zip(names, has, strict=True)], np.where(has, np.clip(share.max(0), 0, 1), 0.0)
+        return [n if h else "und" for n, h in zip(names, has, strict=True)], np.where(has, share.max(0), 0.0)
 
 
 def held_out(id_column: str = "doc_id") -> Column:
@@ -132,7 +147,7 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 def fit(frame: DataFrame, column: str = "text", lang: str = "lang") -> Filters:
     """Filters learned from all rows with text and language. Only the table of slots comes to the driver."""
-    counts = frame.filter(F.col(lang).isNotNull() & F.col(column).isNotNull()).select(F.col(column).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = frame.filter(F.col(lang).isNotNull() & F.col(column).isNotNull()).select(F.col(column).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(_count, "lang string, gram long, n long, texts long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
     counts = blocks.stored(frame.sparkSession, counts)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     langs = sorted(r[0] for r in totals.select("lang").collect())
@@ -141,10 +156,12 @@ def fit(frame: DataFrame, column: str = "text", lang: str = "lang") -> Filters:
     number = frame.sparkSession.createDataFrame([(x, k) for k, x in enumerate(langs)], "lang string, k int")
     share = counts.join(F.broadcast(totals.join(number, "lang")), "lang").withColumn("share", F.col("n") / F.col("total"))
     top = share.groupBy("gram").agg(F.max("share").alias("top"))
-    kept = share.join(top, "gram").filter(F.col("share") >= RATIO * F.col("top")).select("gram", "k")
-    table = kept.mapInArrow(_place, "slot int, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    kept = blocks.stored(frame.sparkSession, share.join(top, "gram").filter((F.col("share") >= RATIO * F.col("top")) & (F.col("texts") >= LEAST_ROWS)).select("gram", "k"))
+    m = min(max(1 << (SPARSE * kept.count()).bit_length(), LEAST_SLOTS), MOST_SLOTS)
+    table = kept.mapInArrow(_place(m), "slot int, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    blocks.drop(counts, kept)
     slot, word, mask = (table.column(i).to_numpy() for i in range(3))
-    words = [np.zeros(SLOTS, np.int64) for _ in range(-(-len(langs) // WORD_BITS))]
+    words = [np.zeros(m, np.int64) for _ in range(-(-len(langs) // WORD_BITS))]
     for w, bits in enumerate(words):
         bits[slot[word == w]] = mask[word == w]
     return Filters(langs, words)
