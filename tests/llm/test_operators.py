@@ -701,3 +701,26 @@ def test_neighbours_come_first():
     scores[0] = 1
     assert [p[0] for p in packing.Packer(0, 64).pack(np.array([4, 4, 4, 4]), lambda seed: scores[seed])] == [0, 1, 2, 3]
     assert packing.tail_cuts(13) == [8, 4, 1]
+
+
+# Columns with clashing names, and empty tables.
+
+
+def test_helper_columns_do_not_clash(spark):
+    rows = sample(n=12) + ODD[:5]
+    plain = documents(spark, rows).select("doc_id", "text", "source")
+    names = ["_norm", "_bag", "_base", "_all", "_text", "_words", "_low", "_keys", "_near", "_exact", "_sure", "document", "_host", "_document", "_hash", "_gone", "_own_key", "_first_id", "_first_key", "_first_copies"]
+    frame = plain.withColumns({c: F.lit(c) for c in names})
+    for run, added in ((licenses.scan, ["n_words", "labels", "score"]), (lines.with_base, ["n_words", "n_repeat_words"]), (lines.judge, ["kept"]), (lines.clean, []), (jaccard.one_of_each, [])):
+        got = run(frame)
+        extra = [c for c in names if c in got.columns]
+        assert extra == names, run
+        assert rows_of(got, "doc_id", *added) == rows_of(run(plain), "doc_id", *added)
+        assert all(r[c] == c for r in got.select(*names).collect() for c in names)
+
+
+def test_empty_tables(spark, path):
+    none = documents(spark, ODD).limit(0)
+    assert licenses.scan(none).count() == lines.judge(none).count() == bpe.digests(bpe.encode(none, path), path).count() == 0
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert preference.format_pairs(preference.reply_pairs(turns)).count() == 0

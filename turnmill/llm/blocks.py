@@ -8,6 +8,7 @@ the longest single row.
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import uuid
 from collections.abc import Iterator
@@ -140,6 +141,24 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def helpers(*names: str):
+    """For functions from frame to frame that add the named columns and drop them: columns of the frame with these names are out of the
+    way meanwhile."""
+
+    def around(run):
+        @functools.wraps(run)
+        def safe(frame, *args, **kwargs):
+            taken = [c for c in frame.columns if c.lower() in names]
+            aside = {c: unused([*frame.columns, *names], f"aside_{c}") for c in taken}
+            moved = lambda x: aside.get(x, x) if isinstance(x, str) else x
+            out = run(frame.withColumnsRenamed(aside), *map(moved, args), **{k: moved(v) for k, v in kwargs.items()})
+            return out.withColumnsRenamed({v: k for k, v in aside.items()})
+
+        return safe
+
+    return around
+
+
 def shared(spark) -> str:
     """A new folder below the shared checkpoint folder; without one, only a session on a local master has a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)

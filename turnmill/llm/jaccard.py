@@ -640,6 +640,7 @@ def component_ids(frame: DataFrame, id_column: str = "doc_id", column: str = "te
     return Join(frame, id_column, column).run()
 
 
+@blocks.helpers("_own_key", "_first_id", "_first_key", "_first_copies")
 def one_of_each(frame: DataFrame, id_column: str = "doc_id", column: str = "text") -> DataFrame:
     """The frame with one row of each component; rows without words are linked with nothing and all stay."""
     first = Join(frame, id_column, column).survivors().withColumnsRenamed({"doc_id": "_first_id", "key": "_first_key", "copies": "_first_copies"})

@@ -7,7 +7,8 @@ longer one of the same priority; ties keep the earlier rule. Base phrases
 are counted wherever they stand and their labels always stay.
 
 Words: A-Z lower-cased, runs of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]`. Cases: a null
-or wordless text has no words, no labels and score 0.
+or wordless text has no words, no labels and score 0; equal rows are judged
+alike; a column that has the name of an added one is replaced.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
+
 #: What stands between words before A-Z are lower-cased, and after.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -140,6 +143,7 @@ def _intervals(marked: Column) -> Column:
     return F.arrays_zip(_where(marked, "\u0001", True).alias("0"), _where(marked, "\u0002", False).alias("1"))
 
 
+@blocks.helpers("_norm", "_bag", "_base", "_all")
 def scan(frame: DataFrame, column: str = "text") -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels, score and `detections` (start and end word, label, priority; after suppression, in order)."""
     text = F.coalesce(F.col(column), F.lit(""))

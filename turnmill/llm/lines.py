@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
+
 SPACE = r"[\x20\x09-\x0D]"
 LIMIT, SHARE, LEAST = 20, 0.001, 0.3
 
@@ -34,6 +36,7 @@ def _beside(column: str, equal) -> Column:
     return here
 
 
+@blocks.helpers("_text", "_words", "_low", "_keys", "_near", "_exact", "_sure")
 def with_base(frame: DataFrame, column: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.coalesce(F.col(column), F.lit(""))
@@ -84,16 +87,17 @@ def _flagged(frame: DataFrame, column: str, host: str, limit: int, share: float)
     return lines.join(often, lines["host"].eqNullSafe(often["_host"]) & (lines["line"] == often["_line"]), "left").withColumn("frequent", F.col("_line").isNotNull()).drop("_host", "_line")
 
 
+@blocks.helpers("document", "_host", "_document")
 def judge(frame: DataFrame, column: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE, least: float = LEAST) -> DataFrame:
-    """The base columns, and kept: false if base_failed or the document's frequent lines leave it less than `least` of its words.
-    `document` is the hash of the text."""
+    """The base columns, and kept: false if base_failed or the document's frequent lines leave it less than `least` of its words."""
     lines = _flagged(frame, column, host, limit, share)
     depleted = lines.groupBy("host", "document").agg(F.sum(F.when(F.col("frequent"), F.col("n")).otherwise(0)).alias("gone"), F.sum("n").alias("all")).filter(F.col("all") - F.col("gone") < least * F.col("all")).select(F.col("host").alias("_host"), F.col("document").alias("_document"))
     base = with_base(frame, column).withColumn("document", F.xxhash64(column)).drop(column)
     out = base.join(depleted, base[host].eqNullSafe(depleted["_host"]) & (base["document"] == depleted["_document"]), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("_document").isNull()).drop("_host", "_document")
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("_document").isNull()).drop("_host", "_document", "document")
 
 
+@blocks.helpers("_hash", "_host", "_document", "_gone")
 def clean(frame: DataFrame, column: str = "text", host: str = "source", limit: int = LIMIT, share: float = SHARE) -> DataFrame:
     """The frame with its frequent lines taken out of the text (a null text stays null)."""
     lines = _flagged(frame, column, host, limit, share).filter("frequent").groupBy("host", "document").agg(F.collect_set("line").alias("_gone")).withColumnsRenamed({"host": "_host", "document": "_document"})
