@@ -19,6 +19,9 @@ import pyarrow.compute as pc
 import xxhash
 
 SLICE_BYTES = 1 << 20
+#: Rows that a Python worker gets at once from tables that are stored; texts can be long.
+BATCH_ROWS = 2048
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 try:
     _libc = ctypes.CDLL("libc.so.6")
@@ -169,11 +172,17 @@ def shared(spark) -> str:
     return f"{root.rstrip('/')}/turnmill-{uuid.uuid4().hex}"
 
 
-def stored(spark, frame, codec: str = "zstd"):
+def stored(spark, frame, codec: str = "zstd", batch: int = BATCH_ROWS):
     """The frame written as Parquet below the shared folder and read again: lineage ends there, and a lost executor costs no
-    recomputation. The driver's garbage is collected, which frees the shuffle files of plans that are done with."""
+    recomputation. Python gets `batch` rows at a time. The driver's garbage is collected, which frees the shuffle files of plans that
+    are done with."""
     path = shared(spark)
-    frame.write.option("compression", codec).parquet(path)
+    size = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(batch))
+    try:
+        frame.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, size)
     out = spark.read.schema(frame.schema).parquet(path)
     out.stored_at = path
     gc.collect()

@@ -55,7 +55,7 @@ WORDS = 5
 PERCENT = 75
 #: Shingles are gathered up to these numbers before a task indexes or counts them.
 GATHER = 1_000_000
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 #: Counts are taken for 2^FINE slots in 2^RANGES ranges, and used for as many slots as there are shingles, 2^FINE at most: one byte
 #: each, so at most 64 MB are broadcast.
 FINE = 26
@@ -73,7 +73,6 @@ PAIRS = 64
 #: A list is met in blocks of about this many sets, with these columns of each.
 BLOCK = 512
 MEMBER = ("name", "n", "place", "rank", "component", "weight", "cap", "far")
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _FACTORS = np.random.default_rng(20240202).integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -477,12 +476,7 @@ class Join:
 
     def in_parts(self, frame: DataFrame, run, schema: str) -> DataFrame:
         """mapInArrow over PAIRS rows at a time, stored."""
-        size = self.spark.conf.get(_BATCH)
-        self.spark.conf.set(_BATCH, str(PAIRS))
-        try:
-            return self.keep(frame.mapInArrow(run, schema))
-        finally:
-            self.spark.conf.set(_BATCH, size)
+        return blocks.stored(self.spark, frame.mapInArrow(run, schema), batch=PAIRS)
 
     def compare(self, pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
         """Rows of OVERLAPS of the pairs (a, b), from the whole sets."""
