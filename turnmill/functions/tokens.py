@@ -62,5 +62,10 @@ def _cuts(texts: pd.Series, most: pd.Series, path: str) -> pd.Series:
 
 
 def resolve(name: str | None) -> Counter:
-    """The counter of a model name or file: a path to a rank file is read; every other name counts by characters."""
-    return Counter(name) if name and name.endswith(".tiktoken") else Counter()
+    """The counter of a rank file's path (`.tiktoken`), or by characters for None and "chars4". Names of models are refused: their
+    vocabularies are files that the caller has, and a count by characters would pass for one by tokens."""
+    if name in (None, "", "chars4"):
+        return Counter()
+    if name.endswith(".tiktoken"):
+        return Counter(name)
+    raise ValueError(f"no counter for {name!r}; give the path of a .tiktoken rank file, or chars4")

@@ -30,6 +30,11 @@ def register_stage(name: str, run: Callable[..., DataFrame], *, before: str = "b
     _custom.append(CustomStage(name, run, before))
 
 
+def unregister_stage(name: str) -> None:
+    """Forgets the stage; unknown names are ignored."""
+    _custom[:] = [s for s in _custom if s.name != name]
+
+
 def by_conversation(f: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[..., DataFrame]:
     """A stage of a Python function of one conversation's turns, ordered by pos. Its memory is that of one conversation."""
 

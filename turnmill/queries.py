@@ -242,6 +242,14 @@ def _s_budget(src: str, limit: int) -> str:
  select k.* from k join e using (conv_id, tool_group) where not evicted"""
 
 
+def _s_cut(src: str, limit: int) -> str:
+    """DuckDB: as `_s_budget`, with the system turn (these tables have one at most) cut where nothing more can go."""
+    room = f"greatest(1, {limit} - (total - tokens))::bigint"
+    cut = f"role = 'system' and total > {limit} and ceil(length(content) / 4.0) > {room}"
+    return f"""select * replace (case when cut then left(content, 4 * room) else content end as content), case when cut then content end original_content
+ from (select *, {room} room, {cut} cut from (select *, (sum(tokens) over (partition by conv_id))::bigint total from ({_s_budget(src, limit)})))"""
+
+
 def _with(body: str, **more: str) -> str:
     more = {k: v for k, v in more.items() if v}
     return f"with noisy as materialized ({NOISY}){''.join(f', {k} as materialized ({v})' for k, v in more.items())} {body}"
@@ -477,9 +485,9 @@ def stage_budget_bpe(spark, sf_dir):
     return budget.budget(noisy(spark, sf_dir), 300, Counter(_ranks())).select(*OUT)
 
 
-@query()
+@query(_with(f"select conv_id, pos, role, content, cut as compressed, original_content from ({_s_cut('noisy', 40)})"))
 def system_truncate(spark, sf_dir):
-    return budget.budget(noisy(spark, sf_dir), 40).filter("role = 'system'").select(*OUT, "compressed", "original_content")
+    return budget.budget(noisy(spark, sf_dir), 40).select(*OUT, "compressed", "original_content")
 
 
 # Statistics, costs and plans.
@@ -561,23 +569,47 @@ def model_rate_lookup(spark, sf_dir):
     return costs.with_rates(spark.sql(_MODELS)).select("c_custkey", "rate_provider", "input_rate", "output_rate")
 
 
-@query(f"select conv_id, 'turnmill (chat, low): ' || turns_before || ' -> ' || turns_after || ' turns, ' || tokens_before || ' -> ' || tokens_after || ' tokens' as head from ({_stats_sql(_CHAT[:3], 'low', BIG)})")
+@query(f"select conv_id, 'turnmill (chat, low): ' || turns_before || ' -> ' || turns_after || ' turns, ' || tokens_before || ' -> ' || tokens_after || ' tokens (' || round(100.0 * greatest(0, tokens_before - tokens_after) / tokens_before, 2)::double || '% saved)' || chr(10) || 'stages: structure, filler, repetition, budget' as summary from ({_stats_sql(_CHAT[:3], 'low', BIG)})")
 def summary_text(spark, sf_dir):
     stats = Compressor(compression="low").compress(noisy(spark, sf_dir), BIG).stats
-    return stats.select("conv_id", F.regexp_extract(engine.summary(), r"^(.* tokens) \(", 1).alias("head"))
+    return stats.select("conv_id", engine.summary().alias("summary"))
 
 
-@query()
+def _deltas_sql() -> str:
+    """DuckDB: counts of a medium chain to BUDGET, with what each stage took (`deltas`) and the removal warning (`warned`)."""
+    src, ctes = _chain("chat", _CHAT[:4], None)
+    ctes["c_budget"] = _s_cut(src, BUDGET)
+    dropping = [c for c in ctes if c != "c_structure"]
+    ctes["counts"] = "select b.conv_id, tb, kb, coalesce(ka, 0)::bigint ka, " + ", ".join(f"coalesce(n_{c}, 0)::bigint n_{c}" for c in dropping) + f" from (select conv_id, count(*) tb, sum({_TOKENS})::bigint kb from noisy group by 1) b" + "".join(f" left join (select conv_id, count(*) n_{c} from {c} group by 1) using (conv_id)" for c in dropping) + f" left join (select conv_id, sum({_TOKENS})::bigint ka from c_budget group by 1) using (conv_id)"
+    each = [f"case when {last} <> n_{c} then '\"{c[2:]}\":' || ({last} - n_{c}) end" for last, c in zip(["tb", *(f"n_{c}" for c in dropping)], dropping, strict=False)]
+    gone = f"n_{dropping[-2]} - n_c_budget"
+    return _with(f"""select conv_id, tb, kb, n_c_budget ta, ka, array_to_string(list_filter([{', '.join(each)}], lambda x: x is not null), ',') deltas,
+ case when {gone} > 0 then '"token budget enforced - ' || ({gone}) || ' turns removed to fit {BUDGET} tokens"' else '' end warned from counts""", **ctes)
+
+
+@query(f"""select conv_id, '{{"conv_id":' || conv_id || ',"turns_before":' || tb || ',"tokens_before":' || kb || ',"turns_after":' || ta || ',"tokens_after":' || ka || ',"turn_delta_by_stage":{{' || deltas || '}},"stages_run":["structure","filler","repetition","resolution","budget"],"warnings_emitted":[' || warned || '],"compression_level":"medium","context_type":"chat","token_budget":{BUDGET},"dry_run":true,"tier_applied":false,"tier_before":0,"tier_after":0,"turns_removed":' || greatest(0, tb - ta) || ',"tokens_saved":' || greatest(0, kb - ka) || ',"token_savings_pct":' || round(100.0 * greatest(0, kb - ka) / kb, 2)::double || '}}' as json from ({_deltas_sql()})""")
 def stats_export(spark, sf_dir):
     return Compressor().preview(noisy(spark, sf_dir), BUDGET).stats.select("conv_id", engine.exported().alias("json"))
 
 
+@query(f"select conv_id, '{{' || deltas || '}}' as deltas, replace(warned, '\"', '') as warned from ({_deltas_sql()})")
+def stage_deltas(spark, sf_dir):
+    stats = Compressor().compress(noisy(spark, sf_dir), BUDGET).stats
+    return stats.select("conv_id", F.to_json("turn_delta_by_stage").alias("deltas"), F.array_join("warnings_emitted", "; ").alias("warned"))
+
+
 @query(" union all ".join(f"(select conv_id, preset, turns_after, tokens_after from ({_stats_sql(_CHAT[:n], p, BIG)}))" for n, p in ((3, "low"), (4, "medium"), (5, "high"))))
 def compare_presets(spark, sf_dir):
     return Compressor(summarizer="tail").compare_presets(noisy(spark, sf_dir), BIG).select("conv_id", "preset", "turns_after", "tokens_after")
 
 
-@query()
+def _preset_sql(stages: list, preset: str, ord_: int) -> str:
+    src, ctes = _chain("chat", stages, None)
+    body = f"select conv_id, '{preset}' preset, {ord_} ord, coalesce(k, 0)::bigint k from (select distinct conv_id from noisy) left join (select conv_id, sum({_TOKENS})::bigint k from ({_s_cut(src, BUDGET)}) group by 1) using (conv_id)"
+    return f"({_with(body, **ctes)})"
+
+
+@query(f"select conv_id, preset from (select *, row_number() over (partition by conv_id order by k > {BUDGET}, case when k <= {BUDGET} then ord else k end, ord) r from ({' union all '.join(_preset_sql(_CHAT[:n], p, i) for i, (n, p) in enumerate(((3, 'low'), (4, 'medium'), (5, 'high'))))})) where r = 1")
 def recommend_preset(spark, sf_dir):
     return Compressor(summarizer="tail").recommend_preset(noisy(spark, sf_dir), BUDGET)
 
@@ -595,9 +627,11 @@ def _mark(turns: DataFrame, **_) -> DataFrame:
 def custom_stage(spark, sf_dir):
     from .plans import registry
 
-    if "mark" not in registry.names():
-        registry.register_stage("mark", _mark, before="repetition")
-    return Compressor().compress(noisy(spark, sf_dir), stages=["mark"]).turns.select(*OUT)
+    registry.register_stage("mark", _mark, before="repetition")
+    try:
+        return Compressor().compress(noisy(spark, sf_dir), stages=["mark"]).turns.select(*OUT)
+    finally:
+        registry.unregister_stage("mark")
 
 
 @query(_with("select conv_id, role, content, (row_number() over (partition by conv_id order by (role <> 'system')::int, pos) - 1)::bigint pos from (select *, row_number() over (partition by conv_id, role = 'system', case when role = 'system' then cast(pos as varchar) else content end order by pos desc) r from noisy) where r = 1"))
@@ -605,7 +639,15 @@ def model_dedupe_mock(spark, sf_dir):
     return model_tier.model_tier(noisy(spark, sf_dir), model_tier.Mock(), "dedupe_only").select(*OUT)
 
 
-@query()
+_SUMMARY = f"""o as (select * from (select conv_id, pos, role, content, row_number() over (partition by conv_id, content order by pos desc) r from noisy where role <> 'system') where r = 1),
+ c as (select conv_id, string_agg(role || ': ' || content, chr(10) || chr(10) order by pos) s from o group by 1 having length(s) >= 500),
+ y as (select conv_id, row_number() over (partition by conv_id order by pos) - 1 pos, role, content from noisy join c using (conv_id) where role = 'system'),
+ n as (select conv_id, count(*) n from y group by 1)
+ select conv_id, pos, role, content from noisy where conv_id not in (select conv_id from c) union all select * from y
+ union all select conv_id, coalesce(n, 0), 'assistant', regexp_replace('Summary: ' || left(s, {4 * max(model_tier.LEAST_TOKENS, 64)}), '\\s+$', '') from c left join n using (conv_id)"""
+
+
+@query(f"with noisy as materialized ({NOISY}), {_SUMMARY}")
 def model_summary_mock(spark, sf_dir):
     return model_tier.model_tier(noisy(spark, sf_dir), model_tier.Mock(), "replace_all", 500, 64).select(*OUT)
 
@@ -618,12 +660,12 @@ def numbered_turns(spark, sf_dir):
     return sinks.to_strings(noisy(spark, sf_dir)).select("conv_id", model_tier.numbered(F.col("messages")).alias("listing"))
 
 
-@query()
+@query("select event_id, array_to_string(case when n <= 1 or len(i) = 0 then range(n) else list_sort(i) end, ',') as kept from (select event_id, event_id % 9 n, list_distinct(list_filter(list_transform(regexp_extract_all(props, '[0-9]+'), lambda x: x::bigint), lambda x: x < event_id % 9)) i from events)")
 def keep_indices(spark, sf_dir):
     import pandas as pd
 
     run = F.pandas_udf(lambda s, n: pd.Series([model_tier.keep_indices(x, int(k)) for x, k in zip(s, n, strict=True)]), "array<int>")
-    return _view(spark, sf_dir, "events").select("event_id", run("props", (F.col("event_id") % 9).cast("int")).alias("kept"))
+    return _view(spark, sf_dir, "events").select("event_id", F.array_join(run("props", (F.col("event_id") % 9).cast("int")), ",").alias("kept"))
 
 
 # Sources and sinks.
