@@ -390,34 +390,48 @@ def test_bits_beyond_one_word(spark):
 # Kneser-Ney.
 
 
+def slow_tokens(text):
+    words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^ \t-\r]+", text or "")]
+    return [*words, "</s>"] if text else []
+
+
 def slow_model(texts):
     grams = [collections.Counter() for _ in range(4)]
+    raw = collections.Counter()
+    letters = collections.Counter({k: 1 for k in range(257)})
     for t in texts:
-        padded = [0, 0, *(ord(c) + 1 for c in t)]
+        words = slow_tokens(t)
+        letters.update(b for w in words[:-1] for b in w.encode())
+        letters[256] += len(words)
+        padded = ["<s>", "<s>", *words]
         for k in range(2, len(padded)):
             grams[3][tuple(padded[k - 2 : k + 1])] += 1
+            raw[tuple(padded[k - 1 : k + 1])] += 1
     for n in (2, 1):
         grams[n] = collections.Counter(g[1:] for g in grams[n + 1])
+    grams[2] = {g: raw[g] if g[0] == "<s>" else c for g, c in grams[2].items()}
     d = [None] + [kneser.discounts([sum(1 for c in grams[n].values() if c == k) for k in range(1, 5)]) for n in (1, 2, 3)]
 
-    def p(g):
+    def p(g, spelt):
         n = len(g)
         if n == 0:
-            return 1 / (len(grams[1]) + 1)
+            return spelt
         own = {h: c for h, c in grams[n].items() if h[:-1] == g[:-1]}
         if not own:
-            return p(g[1:])
+            return p(g[1:], spelt)
         total = sum(own.values())
         less = lambda c: d[n][min(c, 3) - 1]
-        return max(own.get(g, 0) - less(own.get(g, 1)), 0) / total + sum(map(less, own.values())) / total * p(g[1:])
+        return max(own.get(g, 0) - less(own.get(g, 1)), 0) / total + sum(map(less, own.values())) / total * p(g[1:], spelt)
 
-    return p
+    every = sum(letters.values())
+    spell = lambda w: math.prod([letters[b] / every for b in (w.encode() if w != "</s>" else b"")] + [letters[256] / every])
+    return lambda g: p(g, spell(g[-1]))
 
 
 def test_perplexity_equals_brute_force(spark):
-    rows = [(i, t[:60], lang, s) for i, t, lang, s in sample(5, 30)] + [r for r in ODD if r[0] != 9006]
+    rows = [(i, t[:200], lang, s) for i, t, lang, s in sample(5, 40)] + [(41 + i, t, "en", "s") for i, t in enumerate((" \n", "a", "A a a a", "unseen words 123"))] + [r for r in ODD if r[0] != 9006]
     frame = documents(spark, rows)
-    good = [i for i in range(30) if i % 2]
+    good = [i for i in range(40) if i % 2] + [42, 43]
     trusted = spark.createDataFrame([(i,) for i in good], "_trusted long")
     held = {i for i in good if zlib.crc32(str(i).encode()) % kneser.HOLD_OUT == 0}
     p = slow_model([t for i, t, *_ in rows if i in good and i not in held])
@@ -426,14 +440,36 @@ def test_perplexity_equals_brute_force(spark):
     cache = {}
     want = []
     for i, t, *_ in rows:
-        padded = [0, 0, *(ord(c) + 1 for c in t or "")]
+        padded = ["<s>", "<s>", *slow_tokens(t)]
         total = 0.0
         for k in range(2, len(padded)):
             g = tuple(padded[k - 2 : k + 1])
             cache[g] = cache.get(g) or math.log(p(g))
             total += cache[g]
-        want.append((i, round(total, 6) + 0.0))
-    assert sorted(((r["doc_id"], round(r["logp"], 6) + 0.0) for r in got), key=str) == sorted(want, key=str)
+        want.append((i, len(t or ""), total))
+    key = lambda r: (str(r[0]), r[2])
+    for mine, theirs in zip(sorted(((r["doc_id"], r["n"], r["logp"]) for r in got), key=key), sorted(want, key=key), strict=True):
+        assert mine[:2] == theirs[:2] and mine[2] == pytest.approx(theirs[2], rel=1e-5, abs=1e-4)
+
+
+def test_order_of_words_counts(spark):
+    rng = random.Random(3)
+    text = "the quick brown fox jumps over the lazy dog while a small bird sings in the old tree near the river"
+    words = text.split()
+    rows = [(i, " ".join(words[k:] + words[:k]), "en", "s") for i, k in enumerate(rng.randrange(len(words)) for _ in range(60))]
+    shuffled = [(100 + i, " ".join(rng.sample(words, len(words))), "en", "s") for i in range(20)]
+    scored = {r["doc_id"]: r["logp"] / r["n"] for r in kneser.perplexities(documents(spark, rows + shuffled), spark.range(40).select(F.col("id").alias("_trusted"))).collect()}
+    assert min(scored[i] for i in range(40, 60)) > max(scored[100 + i] for i in range(20))
+
+
+def test_keys_are_those_of_sql(spark):
+    rng = np.random.default_rng(1)
+    words = rng.integers(-(2**63), 2**63, (3, 50), np.int64)
+    words[:, :2] = [[0, 1]] * 3
+    frame = spark.createDataFrame(list(zip(*words.tolist(), strict=True)), "a long, b long, c long")
+    for n in (1, 2, 3):
+        got = [r[0] for r in frame.select(F.xxhash64(*"abc"[:n])).collect()]
+        assert kneser.keys(*words[:n].view(np.uint64)).view(np.int64).tolist() == got
 
 
 def test_quality(spark):
@@ -452,19 +488,17 @@ def test_quality(spark):
     assert kneser.judge(frame.limit(0), trusted).count() == 0
 
 
-def test_wide_alphabets():
+def test_tokens_stay_in_their_rows():
     import pyarrow as pa
 
     from turnmill.llm import blocks
 
-    texts = ["".join(chr(c) for c in range(0x10000 + 97 * k, 0x10000 + 97 * k + 40000)) for k in range(3)] + ["\x00a\U0010ffff"]
-    gram, n, sizes, _ = kneser.block_grams(*blocks.flat(pa.array(texts)), np.array([True, False, True, False]))
-    want = collections.Counter()
-    for k, t in enumerate(texts):
-        padded = [0, 0, *(ord(c) + 1 for c in t)]
-        for j in range(2, len(padded)):
-            want[padded[j - 2] << 42 | padded[j - 1] << 21 | padded[j]] += k in (0, 2)
-    assert dict(zip(gram.tolist(), n.tolist(), strict=True)) == want and sizes.tolist() == [len(t) for t in texts] and (np.diff(gram) > 0).all()
+    texts = ["A b", None, " ", "", "\U0010ffff" * 300 + " a", "x" * 300_000]
+    word, row, spelt = kneser.tokens(*blocks.flat(pa.array(texts)), np.full(257, -1.0))
+    assert row.tolist() == [0] * 4 + [2] * 2 + [4] * 4 + [5] * 3
+    assert word[[0, 4, 6, 10]].tolist() == [kneser.BEFORE] * 4 and word[[3, 5, 9, 12]].tolist() == [kneser.AFTER] * 4 and word[1] == word[8]
+    assert spelt.tolist() == [0, -2, -2, -1, 0, -1, 0, -1201, -2, -1, 0, -300_001, -1]
+    assert kneser.before(word, row, 2)[[1, 2, 6, 7, 11]].tolist() == [0] * 5
 
 
 # Jaccard.

@@ -22,6 +22,9 @@ SLICE_BYTES = 1 << 20
 #: Rows that a Python worker gets at once from tables that are stored; texts can be long.
 BATCH_ROWS = 2048
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes after which a batch ends earlier.
+BATCH_BYTES = 8 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 try:
     _libc = ctypes.CDLL("libc.so.6")
@@ -172,17 +175,20 @@ def shared(spark) -> str:
     return f"{root.rstrip('/')}/turnmill-{uuid.uuid4().hex}"
 
 
-def stored(spark, frame, codec: str = "zstd", batch: int = BATCH_ROWS):
+def stored(spark, frame, codec: str = "zstd", batch: int = BATCH_ROWS, size: int | None = None):
     """The frame written as Parquet below the shared folder and read again: lineage ends there, and a lost executor costs no
-    recomputation. Python gets `batch` rows at a time. The driver's garbage is collected, which frees the shuffle files of plans that
+    recomputation. Python gets `batch` rows at a time, fewer once they are of `size` bytes. The driver's garbage is collected, which frees the shuffle files of plans that
     are done with."""
     path = shared(spark)
-    size = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(batch))
+    own = {_BATCH: str(batch)} | ({} if size is None else {_BYTES: str(size)})
+    old = {k: spark.conf.get(k) for k in own}
     try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
         frame.write.option("compression", codec).parquet(path)
     finally:
-        spark.conf.set(_BATCH, size)
+        for k, v in old.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(frame.schema).parquet(path)
     out.stored_at = path
     gc.collect()
