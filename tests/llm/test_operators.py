@@ -396,21 +396,16 @@ def slow_tokens(text):
 
 
 def slow_model(texts):
-    grams = [collections.Counter() for _ in range(4)]
-    raw = collections.Counter()
+    pairs = collections.Counter()
     letters = collections.Counter({k: 1 for k in range(257)})
     for t in texts:
         words = slow_tokens(t)
         letters.update(b for w in words[:-1] for b in w.encode())
         letters[256] += len(words)
-        padded = ["<s>", "<s>", *words]
-        for k in range(2, len(padded)):
-            grams[3][tuple(padded[k - 2 : k + 1])] += 1
-            raw[tuple(padded[k - 1 : k + 1])] += 1
-    for n in (2, 1):
-        grams[n] = collections.Counter(g[1:] for g in grams[n + 1])
-    grams[2] = {g: raw[g] if g[0] == "<s>" else c for g, c in grams[2].items()}
-    d = [None] + [kneser.discounts([sum(1 for c in grams[n].values() if c == k) for k in range(1, 5)]) for n in (1, 2, 3)]
+        pairs.update(zip(["<s>", *words], words))
+    grams = [None, collections.Counter(g[1:] for g in pairs), pairs]
+    d = [None] + [kneser.discounts([sum(1 for c in grams[n].values() if c == k) for k in range(1, 5)]) for n in (1, 2)]
+    d[2][0] = 1.0
 
     def p(g, spelt):
         n = len(g)
@@ -440,10 +435,9 @@ def test_perplexity_equals_brute_force(spark):
     cache = {}
     want = []
     for i, t, *_ in rows:
-        padded = ["<s>", "<s>", *slow_tokens(t)]
+        padded = ["<s>", *slow_tokens(t)]
         total = 0.0
-        for k in range(2, len(padded)):
-            g = tuple(padded[k - 2 : k + 1])
+        for g in zip(padded, padded[1:]):
             cache[g] = cache.get(g) or math.log(p(g))
             total += cache[g]
         want.append((i, len(t or ""), total))
@@ -498,7 +492,7 @@ def test_tokens_stay_in_their_rows():
     assert row.tolist() == [0] * 4 + [2] * 2 + [4] * 4 + [5] * 3
     assert word[[0, 4, 6, 10]].tolist() == [kneser.BEFORE] * 4 and word[[3, 5, 9, 12]].tolist() == [kneser.AFTER] * 4 and word[1] == word[8]
     assert spelt.tolist() == [0, -2, -2, -1, 0, -1, 0, -1201, -2, -1, 0, -300_001, -1]
-    assert kneser.before(word, row, 2)[[1, 2, 6, 7, 11]].tolist() == [0] * 5
+    assert kneser.before(word, row, 1)[[1, 4, 5, 7, 11]].tolist() == [0] * 5
 
 
 # Jaccard.
