@@ -22,8 +22,6 @@ SLICE_BYTES = 1 << 20
 #: Rows that a Python worker gets at once from tables that are stored; texts can be long.
 BATCH_ROWS = 2048
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Bytes after which a batch ends earlier.
-BATCH_BYTES = 8 << 20
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 try:
