@@ -463,7 +463,7 @@ def test_keys_are_those_of_sql(spark):
     frame = spark.createDataFrame(list(zip(*words.tolist(), strict=True)), "a long, b long, c long")
     for n in (1, 2, 3):
         got = [r[0] for r in frame.select(F.xxhash64(*"abc"[:n])).collect()]
-        assert kneser.keys(*words[:n].view(np.uint64)).view(np.int64).tolist() == got
+        assert kneser.keys(*words[:n].view(np.uint64)).tolist() == [x % 2**64 >> 64 - kneser.BITS for x in got]
 
 
 def test_quality(spark):
@@ -482,6 +482,16 @@ def test_quality(spark):
     assert kneser.judge(frame.limit(0), trusted).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 500])
+def test_lists_come_back(size):
+    rng = np.random.default_rng(size)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, (size, 2))})
+    for shift in (0, 1 << 45):
+        key, row = (np.array([p[k] + (shift if k == 0 else 0) for p in pairs], np.uint64) for k in (0, 1))
+        back = kneser._lists(kneser._listed(key, row.astype(np.uint32), np.arange(len(key), dtype=np.uint32)))
+        assert [x.tolist() for x in back] == [key.tolist(), row.tolist(), list(range(len(key)))]
+
+
 def test_tokens_stay_in_their_rows():
     import pyarrow as pa
 
