@@ -23,6 +23,8 @@ SLICE_BYTES = 1 << 20
 BATCH_ROWS = 2048
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Off, equal code of different stages is one class, so loops and rounds do not fill the driver with classes.
+_CLASS_IDS = "spark.sql.codegen.useIdInClassName"
 
 try:
     _libc = ctypes.CDLL("libc.so.6")
@@ -178,18 +180,19 @@ def stored(spark, frame, codec: str = "zstd", batch: int = BATCH_ROWS, size: int
     recomputation. Python gets `batch` rows at a time, fewer once they are of `size` bytes. The driver's garbage is collected, which frees the shuffle files of plans that
     are done with."""
     path = shared(spark)
-    own = {_BATCH: str(batch)} | ({} if size is None else {_BYTES: str(size)})
-    old = {k: spark.conf.get(k) for k in own}
+    own = {_BATCH: str(batch), _CLASS_IDS: "false"} | ({} if size is None else {_BYTES: str(size)})
+    old = {k: spark.conf.get(k, None) for k in own}
     try:
         for k, v in own.items():
             spark.conf.set(k, v)
         frame.write.option("compression", codec).parquet(path)
     finally:
         for k, v in old.items():
-            spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(frame.schema).parquet(path)
     out.stored_at = path
     gc.collect()
+    release()
     spark.sparkContext._jvm.System.gc()
     return out
 
