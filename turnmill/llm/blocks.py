@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 #: Rows that a Python worker gets at once from tables that are stored; texts can be long.
@@ -25,6 +27,9 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Off, equal code of different stages is one class, so loops and rounds do not fill the driver with classes.
 _CLASS_IDS = "spark.sql.codegen.useIdInClassName"
+#: After each so many stored tables the executors collect their garbage.
+COLLECT = 8
+_tables = itertools.count(1)
 
 try:
     _libc = ctypes.CDLL("libc.so.6")
@@ -194,9 +199,26 @@ def stored(spark, frame, codec: str = "zstd", batch: int = BATCH_ROWS, size: int
     gc.collect()
     release()
     spark.sparkContext._jvm.System.gc()
+    if next(_tables) % COLLECT == 0:
+        collect(spark)
     return out
 
 
+def collect(spark) -> None:
+    """The executors collect their garbage, after which their JVMs give free heap back to the system; else a heap stays as large as it
+    ever was, beside the Python workers' memory in one budget. One short task a core reaches every executor as a rule. On a local
+    master the driver is the executor."""
+    context = spark.sparkContext
+    if context._jsc.sc().isLocal():
+        context._jvm.System.gc()
+    else:
+        executors_collect(spark, context.defaultParallelism)
+
+
+def executors_collect(spark, tasks: int) -> None:
+    spark.range(0, tasks, 1, tasks).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def drop(*frames) -> None:
     """Deletes tables of `stored` that nothing reads any more."""
     for frame in frames:

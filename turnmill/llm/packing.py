@@ -257,6 +257,7 @@ def pack(frame: DataFrame, path: str, id_column: str = "doc_id", column: str = "
     least = F.arrow_udf(_least_hash, "long")
     texts = frame.select(F.col(id_column).cast("long").alias("id"), F.col(column).cast("string").alias("text"))
     table, mean, size = statistics(texts.select("text"))
+    blocks.collect(frame.sparkSession)
     weights = frame.sparkSession.sparkContext.broadcast((table, mean))
     rows = texts.withColumn("key", least("text"))
     shards = rows.repartitionByRange(1 + size // SHARD_BYTES, F.col("key"), F.col("id")).sortWithinPartitions("key", "id", F.xxhash64("text"))
