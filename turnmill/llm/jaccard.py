@@ -452,8 +452,8 @@ class Join:
     def weights(self, made: DataFrame, total: int):
         """The slots' weights and the shift that gives a shingle's slot."""
         bits = min(max(total.bit_length() - 1, RANGES), FINE)
-        counts = slots.counts(made.filter("packed is not null"), total, FINE - RANGES)
-        ranges = counts.mapInArrow(_weights(bits), "range int, weights binary").toArrow().to_pylist()
+        counts = slots.counts(made.filter("packed is not null"), total, FINE - RANGES, _weights(bits), "range int, weights binary")
+        ranges = counts.toArrow().to_pylist()
         table = np.zeros(1 << bits, np.uint8)
         width = 1 << bits - RANGES
         for row in ranges:

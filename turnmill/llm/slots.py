@@ -51,8 +51,11 @@ def _sum(packed: bool, width: int):
     return run
 
 
-def counts(packs: DataFrame, total: int, width: int) -> DataFrame:
-    """(range, counts), one row a range, from (range, part, packed): compressed 64-bit counts of the range's 2^width slots."""
+def counts(packs: DataFrame, total: int, width: int, finish=None, finished: str = "") -> DataFrame:
+    """(range, counts), one row a range, from (range, part, packed): compressed 64-bit counts of the range's 2^width slots. With finish,
+    what it makes of them, rows of the schema `finished`, in the same Python worker: a second one a task would stay and hold memory."""
     schema = "range int, counts binary"
+    last = _sum(False, width)
     parts = packs.select("range", "packed", F.pmod("part", F.lit(1 + total // PART)).alias("part")).repartition(F.col("range"), F.col("part"))
-    return parts.select("range", "packed").mapInArrow(_sum(True, width), schema).repartition(F.col("range")).mapInArrow(_sum(False, width), schema)
+    ranges = parts.select("range", "packed").mapInArrow(_sum(True, width), schema).repartition(F.col("range"))
+    return ranges.mapInArrow(last, schema) if finish is None else ranges.mapInArrow(lambda batches: finish(last(batches)), finished)
